@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, secret_scan
+from tidemark.llm import bpe, decontam, licenses, line_dedup, secret_scan, sharding, topk
 from tidemark.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
+SHARD_BYTES = 1 << 20
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,9 +32,49 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    base = F.filter("hits", lambda h: h["base"])
+    starts = F.transform(base, lambda h: h["start"].cast("long"))
+    joined = lambda hits: F.array_join(F.array_sort(F.array_distinct(F.transform(hits, lambda h: h["label"]))), ",")
+    return out.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        joined(base).alias("base_labels"),
+        joined(F.col("hits")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("hits", lambda h: h["score"])), F.lit(0.0)).alias("score"),
+    )
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.find_repeats(table(spark, sf_dir, "documents"))
+    span = lambda r: F.concat_ws(":", r["start"].cast("string"), r["end"].cast("string"), r["first_id"].cast("string"))
+    return out.select("doc_id", "n_units", F.size("removed").alias("n_removed"), F.array_join(F.transform("removed", span), ",").alias("removed"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op4_secret_scan": op4_secret_scan}
+    return {f.__name__: f for f in (op1_bpe, op2_sharding, op4_secret_scan, op5_license_scan, op8_line_dedup, op9_decontamination, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_sharding": sharding.sharding_sql(SHARD_BYTES),
+        "op5_license_scan": licenses.scan_sql(),
+        "op9_decontamination": decontam.contaminated_sql(),
+        "op10_topk": topk.top_k_sql(),
+    }
