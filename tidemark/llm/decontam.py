@@ -18,8 +18,6 @@ other input columns are ignored; empty tables give an empty result.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +45,7 @@ def _seed(mask: int, at: str = "i", hashes: str = "h") -> str:
 def benchmark_index(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """seed, item_id, at, item_words: every window of every item under every mask."""
     items = benchmark.select(F.col(id_col).alias("item_id"), words_of(F.col(text_col)).alias("item_words"))
-    items = items.where(F.size("item_words") >= SPAN).withColumn("h", F.transform("item_words", F.xxhash64))
+    items = items.where(F.size("item_words") >= SPAN).withColumn("h", F.transform("item_words", lambda w: F.xxhash64(w)))
     windows = items.select("item_id", "item_words", "h", F.explode(F.sequence(F.lit(0), F.size("h") - SPAN)).alias("i"))
     seeds = F.array(*(F.expr(_seed(m)) for m in range(len(MASKS))))
     return windows.select(F.explode(seeds).alias("seed"), "item_id", F.col("i").alias("at"), "item_words").distinct()
@@ -74,7 +72,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     index = benchmark_index(benchmark, item_col, item_text_col)
     texts = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words")).where(F.size("words") >= SPAN)
-    texts = texts.withColumn("h", F.transform("words", F.xxhash64))
+    texts = texts.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
     seeds = [r[0] for r in index.select("seed").distinct().limit(most_hashes + 1).collect()]
     if not seeds:
         return texts.select(F.col("id").alias(id_col), F.lit(None).cast(index.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("matched"), F.lit(0).alias("overlap"), F.lit(0).alias("start")).where(F.lit(False))
@@ -119,11 +117,11 @@ def contaminated_sql(stretch: int = STRETCH, share: float = SHARE) -> str:
       FROM met JOIN d USING (doc_id) JOIN b USING (item_id)),
     same AS (
       SELECT doc_id, item_id, o, lowest, beyond, least({stretch}, n) AS length,
-             list_transform(range(lowest, beyond), j -> CASE WHEN dw[j + o + 1] = bw[j + 1] THEN 1 ELSE 0 END) AS s FROM laid),
+             list_transform(range(lowest, beyond), lambda j: CASE WHEN dw[j + o + 1] = bw[j + 1] THEN 1 ELSE 0 END) AS s FROM laid),
     good AS (
       SELECT doc_id, item_id, list_sum(s) AS matched, beyond - lowest AS overlap, o + lowest AS start FROM same
       WHERE len(s) >= length
-        AND len(list_filter(range(0, len(s) - length + 1), a -> list_sum(s[a + 1 : a + length]) >= ceil(round(length * {share}, 6)))) > 0)
+        AND len(list_filter(range(0, len(s) - length + 1), lambda a: list_sum(s[a + 1 : a + length]) >= ceil(round(length * {share}, 6)))) > 0)
     SELECT doc_id, item_id, matched::INTEGER AS matched, overlap::INTEGER AS overlap, start::INTEGER AS start FROM (
       SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, start, overlap DESC) AS rn FROM good)
     WHERE rn = 1

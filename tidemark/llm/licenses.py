@@ -123,9 +123,10 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     is_posted = lambda w: w.isin(posted)
     places = F.filter(F.transform("words", lambda w, i: F.when(is_posted(w), F.struct(w.alias("w"), i.alias("i")))), lambda p: p.isNotNull())
     scanned = scanned.withColumn("places", places)
-    found = [_template_hits(t, rare[t], weight) for t in index]
     n_words = F.when(F.col("norm") == "", 0).otherwise(F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1)
-    hits = F.when(F.col("words").isNull() | (F.size("places") == 0), F.expr("cast(array() as array<struct<label:string,start:int,base:boolean,score:double>>)")).otherwise(F.flatten(F.array(*found)))
+    none = F.expr("cast(array() as array<struct<label:string,start:int,base:boolean,score:double>>)")
+    found = F.expr("flatten(array(" + ",\n".join(_template_hits(t, rare[t], weight) for t in index) + "))")
+    hits = F.when(F.col("words").isNull() | (F.size("places") == 0), none).otherwise(found)
     return scanned.select(F.col("id").alias(id_col), n_words.cast("long").alias("n_words"), hits.alias("hits"))
 
 
@@ -136,32 +137,19 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
-def _starts(word: str, position: int) -> Column:
-    """Where a template would start that has the word at ``position``, by place of the word."""
-    return F.transform(F.filter("places", lambda h: h["w"] == word), lambda h: h["i"] - F.lit(position))
-
-
-def _template_hits(t: Template, rare: list[int], weight: dict[str, float]) -> Column:
-    """Hits of one template, from the places of its rare words."""
-    starts = None
+def _template_hits(t: Template, rare: list[int], weight: dict[str, float]) -> str:
+    """SQL of the hits of one template, from the places of its rare words."""
+    quoted = lambda words: "array(" + ", ".join(f"'{w}'" for w in words) + ")"
+    starts = ""
     for p in rare:
-        of_word = _starts(t.words[p], p)
-        starts = of_word if starts is None else F.array_intersect(starts, of_word)
-    words = F.col("words")
-
-    def word_at(s: Column, i: int) -> Column:
-        return F.try_element_at(words, F.when(s + i >= 0, s + F.lit(i + 1)).otherwise(F.size(words) + 1))
-
-    def verified(s: Column) -> Column:
-        return _all([F.coalesce(word_at(s, i + j) == w, F.lit(False)) for i, phrase in t.keys for j, w in enumerate(phrase)])
-
-    def score(s: Column) -> Column:
-        total, share = sum(weight[w] for w in t.words), F.lit(0.0)
-        for i, w in enumerate(t.words):
-            share = share + F.when(word_at(s, i) == w, F.lit(weight[w])).otherwise(F.lit(0.0))
-        return F.least(F.lit(1.0), F.round(share / F.lit(total), 6))
-
-    return F.transform(F.filter(starts, verified), lambda s: F.struct(F.lit(t.label).alias("label"), s.cast("int").alias("start"), F.lit(t.base).alias("base"), score(s).alias("score")))
+        of_word = f"transform(filter(places, h -> h.w = '{t.words[p]}'), h -> h.i - {p})"
+        starts = f"array_intersect({starts}, {of_word})" if starts else of_word
+    keys = " AND ".join(f"s >= {-i} AND slice(words, greatest(s + {i}, 0) + 1, {len(phrase)}) = {quoted(phrase)}" for i, phrase in t.keys)
+    weights = "array(" + ", ".join(f"{weight[w]!r}D" for w in t.words) + ")"
+    total = sum(weight[w] for w in t.words)
+    share = f"aggregate(sequence(0, {len(t.words) - 1}), 0D, (a, j) -> a + if(get(words, s + j) = get({quoted(t.words)}, j), get({weights}, j), 0D))"
+    hit = f"named_struct('label', '{t.label}', 'start', s, 'base', {str(t.base).lower()}, 'score', least(1D, round({share} / {total!r}D, 6)))"
+    return f"transform(filter({starts}, s -> {keys}), s -> {hit})"
 
 
 def scan_sql() -> str:

@@ -172,12 +172,12 @@ def top_k_sql(k: int = 10) -> str:
     """Brute force in DuckDB SQL, for unique ids and vectors of one length."""
     return f"""
     WITH ok AS (
-      SELECT vec_id, list_transform(embedding, x -> floor({SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+      SELECT vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
       WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
-        AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
     scored AS (
       SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-             list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2]))::BIGINT AS score
+             list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
       FROM ok q JOIN ok c ON q.vec_id <> c.vec_id WHERE q.vec_id % {QUERY_STEP} = 0)
     SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
