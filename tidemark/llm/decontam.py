@@ -6,8 +6,9 @@ mask; a document's windows are hashed alike, and where a hash is one of the benc
 are laid on each other at that offset and compared word by word: the document holds the item if
 some stretch of ``stretch`` words (the whole item if shorter) agrees in ``share`` of its words.
 
-The benchmark's hashes are collected only up to ``most_hashes``; they are then part of the
-filter that every row passes, without a shuffle. A larger benchmark is joined by hash instead.
+The benchmark's windows are broadcast only if there are ``most_hashes`` at most; then no document
+is shuffled to find hits. A larger benchmark is joined by a shuffle of hashes. Only documents
+with a hit, and only places with one, are compared word by word.
 
 Defined results: words are lower-cased runs of letters, digits and characters beyond ASCII; null
 texts count as empty; a text or item of fewer words than a mask spans has no window and hits
@@ -21,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import Staging
 from tidemark.llm.licenses import SEPARATORS
 
 #: Fixed masks: offsets of the words that are kept, all within SPAN.
@@ -56,7 +58,6 @@ def _verified(hits: DataFrame, stretch: int, share: float) -> DataFrame:
     n = F.size("item_words")
     lowest, beyond = F.greatest(F.lit(0), -F.col("offset")), F.least(n, F.size("words") - F.col("offset"))
     same = F.transform(F.sequence(lowest, beyond - 1), lambda j: F.when(F.get("words", j + F.col("offset")) == F.get("item_words", j), 1).otherwise(0))
-    hits = hits.withColumn("same", same)
     length = F.least(F.lit(stretch), n)
     hits = hits.withColumn("same", same).withColumn("length", length)
     total = lambda flags: F.aggregate(flags, F.lit(0), lambda a, x: a + x)
@@ -66,30 +67,34 @@ def _verified(hits: DataFrame, stretch: int, share: float) -> DataFrame:
     return hits.where(enough).select("id", "item_id", total(F.col("same")).alias("matched"), F.size("same").alias("overlap"), (F.col("offset") + lowest).alias("start"))
 
 
+def _laid(texts: DataFrame, met: DataFrame, items: DataFrame) -> DataFrame:
+    """(id, words, item_id, item_words, offset) of every hit. Only texts with a hit are split
+    again; null ids meet too."""
+    places = met.groupBy(F.col("id").alias("m_id"), F.col("key").alias("m_key")).agg(F.collect_set(F.struct("item_id", "offset")).alias("places"))
+    found = texts.join(places, texts["key"].eqNullSafe(F.col("m_key")) & texts["id"].eqNullSafe(F.col("m_id")))
+    found = found.select("id", words_of(F.col("text")).alias("words"), "places").select("id", "words", F.explode("places").alias("p"))
+    return found.select("id", "words", "p.item_id", "p.offset").join(items, "item_id")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", stretch: int = STRETCH, share: float = SHARE, most_hashes: int = MOST_HASHES) -> DataFrame:
     """One row for each document and item it holds: id_col, item_id, matched (int, agreeing
     words), overlap (int, words laid on each other), start (int, first such word of the document).
     """
-    index = benchmark_index(benchmark, item_col, item_text_col)
-    texts = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words")).where(F.size("words") >= SPAN)
-    texts = texts.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
-    seeds = [r[0] for r in index.select("seed").distinct().limit(most_hashes + 1).collect()]
-    if not seeds:
-        return texts.select(F.col("id").alias(id_col), F.lit(None).cast(index.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("matched"), F.lit(0).alias("overlap"), F.lit(0).alias("start")).where(F.lit(False))
-    if len(seeds) <= most_hashes:
-        known = ", ".join(f"{s}L" if s > -(1 << 63) else "bigint('-9223372036854775808')" for s in seeds)
-        hit = " OR ".join(f"{_seed(m)} IN ({known})" for m in range(len(MASKS)))
-        texts = texts.withColumn("at", F.expr(f"filter(sequence(0, size(h) - {SPAN}), i -> {hit})")).where(F.size("at") > 0)
-        hits = texts.select("id", "words", "h", F.explode("at").alias("i"))
-        hits = hits.select("id", "words", "i", F.explode(F.array(*(F.expr(_seed(m)) for m in range(len(MASKS))))).alias("seed"))
-        # as many rows as seeds were collected, or some more where windows repeat
-        index = F.broadcast(index)
-        hits = hits.join(index, "seed").select("id", "words", "item_id", "item_words", (F.col("i") - F.col("at")).alias("offset"))
-    else:
-        windows = texts.select("id", "h", F.explode(F.sequence(F.lit(0), F.size("h") - SPAN)).alias("i"))
-        windows = windows.select("id", "i", F.explode(F.array(*(F.expr(_seed(m)) for m in range(len(MASKS))))).alias("seed"))
-        met = windows.join(index, "seed").select("id", "item_id", "item_words", (F.col("i") - F.col("at")).alias("offset")).distinct()
-        hits = met.join(texts.select("id", "words"), "id")
+    staging = Staging(docs.sparkSession, "decontam")
+    index = staging.keep(benchmark_index(benchmark, item_col, item_text_col), "index")
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("key"), F.col(text_col).alias("text"))
+    hashed = texts.select("id", "key", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("h")).where(F.size("h") >= SPAN)
+    places = f"sequence(0, size(h) - {SPAN})"
+    seeds = [f"transform({places}, i -> {_seed(m)})" for m in range(len(MASKS))]
+    # all windows under the first mask, then all under the second
+    windows = hashed.select("id", "key", F.expr(f"size(h) - {SPAN - 1}").alias("n"), F.posexplode(F.expr(f"concat({', '.join(seeds)})")).alias("i", "seed"))
+    small = index.limit(most_hashes + 1).count() <= most_hashes
+    posted = index.select("seed", "item_id", "at")
+    met = windows.join(F.broadcast(posted) if small else posted, "seed")
+    met = met.select("id", "key", "item_id", (F.pmod("i", "n") - F.col("at")).alias("offset")).distinct()
+    met = staging.keep(met, "met")
+    items = index.select("item_id", "item_words").distinct()
+    hits = _laid(texts, met, items)
     best = F.max(F.struct("matched", (-F.col("start")).alias("start"), "overlap")).alias("best")
     found = _verified(hits, stretch, share).groupBy("id", "item_id").agg(best)
     return found.select(F.col("id").alias(id_col), "item_id", "best.matched", "best.overlap", (-F.col("best.start")).alias("start"))
