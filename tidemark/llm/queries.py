@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontam, licenses, line_dedup, secret_scan, sharding, topk
+from tidemark.llm import bpe, decontam, jaccard_join, licenses, line_dedup, secret_scan, sharding, topk, toxicity
 from tidemark.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -20,6 +20,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["base"])
@@ -53,6 +57,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.find_repeats(table(spark, sf_dir, "documents"))
     span = lambda r: F.concat_ws(":", r["start"].cast("string"), r["end"].cast("string"), r["first_id"].cast("string"))
@@ -68,7 +76,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_sharding, op4_secret_scan, op5_license_scan, op8_line_dedup, op9_decontamination, op10_topk)}
+    return {f.__name__: f for f in (op1_bpe, op2_sharding, op3_toxicity, op4_secret_scan, op5_license_scan, op7_jaccard_join, op8_line_dedup, op9_decontamination, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
