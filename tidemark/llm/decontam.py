@@ -102,7 +102,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns."""
-    bad = contaminated(docs, benchmark, id_col=id_col, **options).select(F.col(id_col).alias("_bad")).distinct()
+    staging = Staging(docs.sparkSession, "decontaminated")
+    bad = staging.keep(contaminated(docs, benchmark, id_col=id_col, **options).select(F.col(id_col).alias("_bad")).distinct(), "bad")
     return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
 
 

@@ -332,7 +332,11 @@ def _digests(texts: DataFrame) -> DataFrame:
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows whose id is their group's smallest, one of each group, with all their columns."""
-    found = near_duplicates(df, id_col, text_col, **options)
-    stay = found.where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("_stay")).distinct()
-    return df.join(stay, df[id_col].eqNullSafe(stay["_stay"]), "left_semi").dropDuplicates([id_col])
+    """One row of each group of linked texts, that of the smallest id, with all its columns."""
+    staging = Staging(df.sparkSession, "jaccard_kept")
+    found = staging.keep(near_duplicates(df, id_col, text_col, **options), "groups")
+    gone = found.where(~F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("_gone")).distinct()
+    gone = staging.keep(gone, "gone")
+    stay = df.join(gone, df[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    repeated = not found.groupBy(id_col).count().where("count > 1").isEmpty()
+    return stay.dropDuplicates([id_col]) if repeated else stay

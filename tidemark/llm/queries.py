@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontam, jaccard_join, licenses, line_dedup, secret_scan, sharding, topk, toxicity
+from tidemark.llm import bpe, brown_lm, decontam, jaccard_join, licenses, line_dedup, secret_scan, sharding, topk, toxicity
 from tidemark.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -57,6 +57,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -76,7 +80,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_sharding, op3_toxicity, op4_secret_scan, op5_license_scan, op7_jaccard_join, op8_line_dedup, op9_decontamination, op10_topk)}
+    return {f.__name__: f for f in (op1_bpe, op2_sharding, op3_toxicity, op4_secret_scan, op5_license_scan, op6_brown_lm, op7_jaccard_join, op8_line_dedup, op9_decontamination, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -247,3 +247,20 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def span_text(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def redact_texts(df: DataFrame, text_col: str = "text", batch_rows: int = 256) -> DataFrame:
+    """All rows and columns of the input, text_col with its secrets replaced (null stays null)."""
+    at_column = df.columns.index(text_col)
+    out = df.withColumn(text_col, F.col(text_col).cast("string"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, batch_rows):
+                part = batch.slice(at, batch_rows)
+                texts = [redact(t, found) if t and (found := scan(t)) else t for t in part.column(at_column).to_pylist()]
+                columns = part.columns
+                columns[at_column] = pa.array(texts, part.schema.field(at_column).type)
+                yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
+
+    return out.mapInArrow(run, out.schema)

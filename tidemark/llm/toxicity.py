@@ -262,3 +262,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     score = 1 / (1 + F.exp(-logit))
     out = votes.select("id", held, score.alias("score"))
     return out.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The documents that aren't predicted toxic, with all their columns."""
+    staging = Staging(docs.sparkSession, "toxic_rejected")
+    scored = score_toxicity(docs, labels, id_col, **options)
+    bad = staging.keep(scored.where("predicted = 1").select(F.col(id_col).alias("_bad")).distinct(), "bad")
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
