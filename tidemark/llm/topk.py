@@ -1,11 +1,11 @@
 """Exact top-k search by the three-phase uniform threshold (operator 10).
 
 Vectors are cut into ``lists`` blocks of components; for a query, each block is one list of
-partial scores. Phase 1 gathers every list's k highest entries and its minimum; the k-th highest
-lower bound T of a whole score follows. Phase 2 broadcasts the cutoffs: an object that reaches T
-stands, in one list at least, at (T - sum of minima) / lists above that list's minimum, so every
-entry from there on is collected and no object that matters is missed. Bounds of the collected
-objects raise T and prune. Phase 3 resolves the remaining scores exactly.
+partial scores. Phase 1 gathers every task's own k highest entries of each list; the k-th highest
+whole score T of what was gathered is a safe cutoff. Phase 2 broadcasts T / lists: an object whose
+score reaches T stands at that height in one list at least, so every entry from there on is
+collected and no object that matters is missed; those that can't reach T with what the other lists
+may add are dropped. Phase 3 resolves the remaining scores exactly.
 
 Queries are taken in blocks of ``query_block``, so what is broadcast and what reaches the driver
 (a block's queries and cutoffs) is bounded whatever the table's size.
@@ -14,7 +14,7 @@ Defined results: vectors that are null or hold null or non-finite components tak
 vectors count as filled with zeros; vec_id is the key: of several rows with one vec_id the least
 vector stands for all; rows with a null vec_id take no part; ties go to the smaller vec_id; a
 query with fewer than k candidates gets all; an empty table gives an empty result. Scores that
-could exceed 62 bits raise OverflowError. Other input columns are ignored.
+could exceed 58 bits raise OverflowError. Other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -55,9 +55,9 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     bound = int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0)) * max(1, a.shape[1])
     if bound < 1 << 53:
         return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
-    if bound < 1 << 62:
+    if bound < 1 << 58:
         return a @ b.T
-    raise OverflowError("inner products may exceed 62 bits")
+    raise OverflowError("inner products may exceed 58 bits")
 
 
 def _blocks(width: int, lists: int) -> list[slice]:
@@ -110,56 +110,50 @@ def _search(asked: DataFrame, vectors: DataFrame, block: list, k: int, width: in
                 part = batch.slice(at, chunk_rows)
                 yield part.column(0).to_numpy(), _matrix(part.column(1), width)
 
-    def entries(q: np.ndarray, j: int, own, scores: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.full(len(q), j, np.int32)), own, pa.array(scores)], ["q", "list", "id", "part"])
-
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Phase 1: of each list the highest k entries of a chunk, and its minimum (id null)."""
+        """Phase 1: the task's own k highest entries of every list, with their whole scores."""
         query_ids, qm = shared.value
-        for own, v in chunks(batches):
-            n = min(k, len(own))
+        part = [np.zeros((len(query_ids), 0), np.int64) for _ in blocks]
+        whole, own = list(part), list(part)
+        for chunk_ids, v in chunks(batches):
+            scores = _product(qm, v)
+            n = min(k, len(chunk_ids))
             for j, s in enumerate(blocks):
-                scores = _product(qm[:, s], v[:, s])
-                yield entries(query_ids, j, pa.nulls(len(query_ids), pa.int64()), scores.min(axis=1))
-                top = np.argpartition(-scores, n - 1, axis=1)[:, :n]
-                yield entries(np.repeat(query_ids, n), j, pa.array(own[top].ravel()), np.take_along_axis(scores, top, axis=1).ravel())
-
-    schema = "q long, list int, id long, part long"
-    local = vectors.mapInArrow(gather, schema)
-    order = Window.partitionBy("q", "list").orderBy(F.col("part").desc(), "id")
-    minima = local.where("id is null").groupBy("q", "list").agg(F.min("part").alias("least"))
-    heads = local.where("id is not null").withColumn("at", F.row_number().over(order)).where(F.col("at") <= k)
-    # an object's lower bound: what it has in the lists that show it, the minima elsewhere
-    seen = heads.join(minima, ["q", "list"]).groupBy("q", "id").agg(F.sum(F.col("part") - F.col("least")).alias("above"))
-    ranked = seen.withColumn("at", F.row_number().over(Window.partitionBy("q").orderBy(F.col("above").desc())))
-    bounds = ranked.where(F.col("at") <= k).groupBy("q").agg(F.count("*").alias("n"), F.min("above").alias("above"))
-    above = {r["q"]: r["above"] if r["n"] >= k else 0 for r in bounds.collect()}
-    least = np.zeros((len(ids), lists), np.int64)
-    place = {q: i for i, q in enumerate(ids)}
-    for r in minima.collect():
-        least[place[r["q"]], r["list"]] = r["least"]
-    # scores are integers: some list holds at least the ceiling of the mean
-    cut = np.array([-(-above.get(q, 0) // lists) for q in ids], np.int64)
-    floors = spark.sparkContext.broadcast(least + cut[:, None])
+                partial = _product(qm[:, s], v[:, s])
+                top = np.argpartition(-partial, n - 1, axis=1)[:, :n]
+                found = np.hstack((part[j], np.take_along_axis(partial, top, axis=1)))
+                keep = np.argsort(-found, axis=1, kind="stable")[:, :k]
+                part[j] = np.take_along_axis(found, keep, axis=1)
+                whole[j] = np.take_along_axis(np.hstack((whole[j], np.take_along_axis(scores, top, axis=1))), keep, axis=1)
+                own[j] = np.take_along_axis(np.hstack((own[j], chunk_ids[top])), keep, axis=1)
+        for w, o in zip(whole, own, strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, o.shape[1])), pa.array(o.ravel()), pa.array(w.ravel())], ["q", "id", "score"])
+
+    gathered = vectors.mapInArrow(gather, "q long, id long, score long").distinct()
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "id"))
+    bounds = gathered.withColumn("at", place).where(F.col("at") == k).select("q", "score").collect()
+    # any k whole scores bound the k-th best from below; with fewer objects than k all are wanted
+    safe = {r["q"]: r["score"] for r in bounds}
+    lowest = -(1 << 58)
+    reach = [safe.get(q, lowest) for q in ids]
+    # integers: if their sum is T or more, one of the lists holds ceil(T / lists) or more
+    floor = np.array([-(-t // lists) if t > lowest else lowest for t in reach], np.int64)
+    floors = spark.sparkContext.broadcast(floor)
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Phase 2: every entry at or above its list's cutoff."""
+        """Phase 2: every entry at or above the query's cutoff."""
         query_ids, qm = shared.value
         for own, v in chunks(batches):
-            for j, s in enumerate(blocks):
+            for s in blocks:
                 scores = _product(qm[:, s], v[:, s])
-                qi, ci = np.nonzero(scores >= floors.value[:, j, None])
-                yield entries(query_ids[qi], j, pa.array(own[ci]), scores[qi, ci])
-
-    limits = spark.createDataFrame([(q, j, int(least[i, j]), int(least[i, j] + cut[i])) for i, q in enumerate(ids) for j in range(lists)], "q long, list int, least long, cutoff long")
-    sums = limits.groupBy("q").agg(F.sum("least").alias("all_least"), F.sum("cutoff").alias("all_cutoff"))
-    met = vectors.mapInArrow(collect, schema).join(F.broadcast(limits), ["q", "list"])  # query_block * lists rows
-    # a list that doesn't show the object holds less than its cutoff there, its minimum at least
-    objects = met.groupBy("q", "id").agg(F.sum(F.col("part") - F.col("least")).alias("low"), F.sum(F.col("part") - F.col("cutoff")).alias("high"))
-    objects = objects.join(F.broadcast(sums), "q").select("q", "id", (F.col("low") + F.col("all_least")).alias("low"), (F.col("high") + F.col("all_cutoff")).alias("high"))
-    by_low = Window.partitionBy("q").orderBy(F.col("low").desc(), "id")
-    kth = objects.withColumn("at", F.row_number().over(by_low)).where(F.col("at") == k).select("q", F.col("low").alias("safe"))
-    left = objects.join(kth, "q", "left").where(F.col("safe").isNull() | (F.col("high") >= F.col("safe"))).select("q", "id")
+                qi, ci = np.nonzero(scores >= floors.value[:, None])
+                yield pa.RecordBatch.from_arrays([pa.array(query_ids[qi]), pa.array(own[ci]), pa.array(scores[qi, ci])], ["q", "id", "part"])
+
+    limits = spark.createDataFrame([(q, int(f), int(t)) for q, f, t in zip(ids, floor.tolist(), reach, strict=True)], "q long, cutoff long, safe long")
+    met = vectors.mapInArrow(collect, "q long, id long, part long").groupBy("q", "id").agg(F.sum("part").alias("part"), F.count("*").alias("n"))
+    # a list that doesn't show the object holds less than the cutoff there
+    met = met.join(F.broadcast(limits), "q")  # query_block rows
+    left = met.where((F.col("safe") == lowest) | (F.col("part") + (lists - F.col("n")) * F.col("cutoff") >= F.col("safe"))).select("q", "id")
     # Phase 3: whole scores of what is left
     exact = left.join(vectors, "id").join(F.broadcast(asked.select("q", F.col("v").alias("qv"))), "q")  # query_block vectors
     product = F.zip_with("v", "qv", lambda a, b: F.coalesce(a, F.lit(0)) * F.coalesce(b, F.lit(0)))
