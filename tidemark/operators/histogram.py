@@ -46,9 +46,7 @@ def merge(histograms: DataFrame, by: list[str], max_buckets: int = MAX_BUCKETS)
     for b in by:
         on = on & F.col(b).eqNullSafe(F.col(f"_{b}"))
     parts = histograms.select(*by, "scale", F.explode("buckets").alias("_b")).join(named.select(*(f"_{b}" for b in by), "_to"), on).drop(*(f"_{b}" for b in by))
-    down = F.col("scale") - F.col("_to")
     parts = parts.withColumn("_i", F.expr("shiftright(_b.index, cast(scale - _to as int))")).groupBy(*by, "_to", "_i").agg(F.sum("_b.n").alias("_n"))
-    del down
     ranged = _rescaled(parts, by, F.col("_to"), max_buckets)
     return named.drop("_to").join(ranged, _same(by), "left").select(*(F.col(f"_{b}").alias(b) for b in by), "count", "sum", "min", "max", "zero_count", F.coalesce("scale", F.lit(FINE_SCALE)).alias("scale"), F.coalesce("buckets", _no_buckets()).alias("buckets"))
 
@@ -68,7 +66,7 @@ def _rescaled(parts: DataFrame, by: list[str], scale: Column, max_buckets: int)
     """by, scale, buckets from (by, _i, _n) at a scale: halved until they fit."""
     ranges = parts.where("_i is not null").groupBy(*by).agg(F.min("_i").alias("_a"), F.max("_i").alias("_z"), F.first(scale).alias("_from"))
     # the first shift at which the range fits; 64 bits are gone after 63 halvings
-    fits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda d: F.expr("0").isNotNull() & (F.call_function("shiftright", F.col("_z"), d) - F.call_function("shiftright", F.col("_a"), d) < max_buckets))
+    fits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda d: F.call_function("shiftright", F.col("_z"), d) - F.call_function("shiftright", F.col("_a"), d) < max_buckets)
     ranges = ranges.withColumn("_down", F.element_at(fits, 1))
     named = ranges.select(*(F.col(b).alias(f"_{b}") for b in by), "_down", "_from")
     joined = parts.where("_i is not null").join(named, _same(by)).drop(*(f"_{b}" for b in by))

@@ -8,8 +8,6 @@ from pyspark.sql import types as T
 
 from tidemark.functions import values as V
 
-NESTED_SCHEMA_FIELDS = ("attributes",)
-
 # Schemas of the star's tables; every optional column is present and nullable.
 ATTRIBUTE_ROWS = T.StructType([T.StructField("_part_id", T.StringType()), T.StructField("parent_id", T.LongType()), T.StructField("key", T.StringType()), *V.ANY_VALUE.fields])
 
@@ -37,7 +35,7 @@ def attribute_map(**values: V.Value) -> Column:
     parts: list[Column] = []
     for key, v in values.items():
         parts += [F.lit(key.replace("__", ".")), V.wrap(v)]
-    return F.create_map(*parts) if parts else F.lit(None).cast(V.ATTRIBUTES)
+    return F.create_map(*parts) if parts else F.map_from_arrays(F.array().cast("array<string>"), F.array().cast(T.ArrayType(V.ANY_VALUE)))
 
 
 def to_star(df: DataFrame, id_cols: list[str], attributes_col: str = "attributes") -> tuple[DataFrame, DataFrame]:
