@@ -156,7 +156,7 @@ class Judge:
         """Indices (i, j) of surviving pairs, i before j."""
         left, right = [], []
         n = len(sig)
-        for i in range(n - 1):
+        for i in range(n):
             others = np.arange(i + 1, n) if side[i] < 0 else np.flatnonzero(side == 1) if side[i] == 0 else None
             if others is None or not len(others):
                 continue
