@@ -160,6 +160,13 @@ def _numbered(df: DataFrame, order_by: list[str]) -> DataFrame:
     return joined.withColumn("_n", F.col("_before") + F.col("_w")).drop("_part", "_w", "_p", "_before")
 
 
+def batch_by_items(df: DataFrame, items: int, order_by: list[str], name: str = "_batch") -> DataFrame:
+    """A batch number for every ``items`` records in order; all batches but the last are full."""
+    if items < 1:
+        raise QueryError("a batch holds one record at least")
+    return _numbered(df, order_by).withColumn(name, F.floor(F.col("_n") / items)).drop("_n")
+
+
 def sample_zip(df: DataFrame, max_items: int, interval: str, time_col: str, order_by: list[str] | None = None) -> DataFrame:
     """At most ``max_items`` records of each interval, the earliest ones."""
     windowed = df.withColumn("_window", F.window(time_col, interval)["start"])

@@ -140,3 +140,17 @@ def poll_page(source: DataFrame, time_col: str, tie_col: str, after: Cursor, row
     page = source.orderBy(time_col, tie_col).limit(rows)
     last = page.agg(F.max(F.struct(time_col, tie_col)).alias("m")).first()["m"]
     return page, after if last is None else Cursor(last[0], last[1])
+
+
+def generate_logs(spark: SparkSession, rows: int, body_bytes: int = 1024, unique: int = 512, tasks: int | None = None) -> DataFrame:
+    """Synthetic log records with bodies of a fixed size, ``unique`` different ones."""
+    base = spark.range(0, rows, 1, tasks) if tasks else spark.range(rows)
+    kind = F.col("id") % unique
+    body = F.substring(F.repeat(F.concat(F.lit("log message "), kind.cast("string"), F.lit(" ")), body_bytes // 13 + 1), 1, body_bytes)
+    severity = F.element_at(F.array(F.lit(5), F.lit(9), F.lit(13), F.lit(17)), (F.col("id") % 4 + 1).cast("int"))
+    return base.select(
+        (F.col("id") * 1_000_000).alias("time_unix_nano"),
+        severity.alias("severity_number"),
+        V.wrap(V.Value(body, "string")).alias("body"),
+        attribute_map(kind=V.Value(kind, "int"), host=V.Value(F.concat(F.lit("h"), (F.col("id") % 16).cast("string")), "string")).alias("attributes"),
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
@@ -31,17 +31,23 @@ def route_stream(stream: DataFrame, query: str, sinks: dict[str, Callable[[DataF
     return (writer.trigger(**trigger) if trigger else writer).start()
 
 
-def windowed_summary(stream: DataFrame, time_col: str, window: str, keys: list[Column], aggregates: list[Column], lateness: str) -> DataFrame:
+def windowed_summary(stream: DataFrame, time_col: str, window: str, keys: dict[str, Column], aggregates: dict[str, Column], lateness: str) -> DataFrame:
     """Aggregates by event-time window and keys; summary_id names a window's group for good, so
     late updates replace earlier ones."""
     marked = stream.withWatermark(time_col, lateness)
-    grouped = marked.groupBy(F.window(time_col, window).alias("window"), *keys).agg(*aggregates)
-    return grouped.withColumn("summary_id", stream_id([F.col("window.start"), *(F.col(c) for c in grouped.columns if c not in {"window"} | {_name(a) for a in aggregates})]))
-
-
-def _name(c: Column) -> str:
-    text = c._jc.toString() if hasattr(c, "_jc") else str(c)
-    return text.rsplit(" AS ", 1)[-1].strip("`'>")
+    by = [c.alias(n) for n, c in keys.items()]
+    grouped = marked.groupBy(F.window(time_col, window).alias("window"), *by).agg(*(c.alias(n) for n, c in aggregates.items()))
+    return grouped.withColumn("summary_id", stream_id([F.col("window.start"), *map(F.col, keys)]))
+
+
+def reservoir(df: DataFrame, time_col: str, window: str, keys: list[str], samples: int) -> DataFrame:
+    """A summary's records: at most ``samples`` of each window and group, chosen by a hash that
+    doesn't depend on arrival, with the group's total."""
+    marked = df.withColumn("_window", F.window(time_col, window)["start"])
+    group = Window.partitionBy("_window", *keys)
+    totals = marked.groupBy("_window", *keys).agg(F.count("*").alias("total"))
+    chosen = marked.withColumn("_at", F.row_number().over(group.orderBy(F.xxhash64(*df.columns), time_col))).where(F.col("_at") <= samples).drop("_at")
+    return chosen.join(totals, ["_window", *keys]).withColumnRenamed("_window", "window_start")
 
 
 def reaggregate_stream(stream: DataFrame, identity: list[Column], time_col: str, period: str, lateness: str) -> DataFrame:
