@@ -97,6 +97,13 @@ def test_opl_where(logs, predicate, want):
     assert kept(logs, predicate) == want
 
 
+def test_keys_in_any_case(logs):
+    query = 'logs | where attributes["S"] == "x"'
+    assert run_opl(query, logs)["default"].count() == 0
+    assert run_opl(query, logs, any_case=True)["default"].count() == 2
+    assert run_opl('logs | where attributes["NONE"] == null', logs, any_case=True)["default"].count() == 3
+
+
 def test_opl_flow(logs):
     out = run_opl('logs | if (id == 0) { set attributes["t"] = "a" } else if (id == 1) { route_to "p" } else { set severity_text = "none" }', logs)
     assert {r.id: (r.severity_text, (r.attributes or {}).get("t")) for r in out["default"].collect()}.keys() == {0, 2}

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import fnmatch
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,9 +36,11 @@ class Scope:
     closed: bool = False
     #: aliases of columns, by name
     aliases: dict[str, str] = field(default_factory=dict)
+    #: whether attribute keys match in any case
+    any_case: bool = False
 
     def with_variables(self, more: dict[str, Value]) -> Scope:
-        return Scope(self.language, self.schema, self.variables | more, self.functions, self.signal, self.closed, self.aliases)
+        return replace(self, variables=self.variables | more)
 
     # names
 
@@ -81,7 +83,8 @@ class Scope:
             return V.typed(v.col.getField(step), v.dtype[step].dataType)
         if v.kind == "map":
             key = step.col if isinstance(step, Value) else F.lit(step)
-            return V.typed(F.try_element_at(v.col, key), v.dtype.valueType)
+            found = F.get(F.map_values(F.map_filter(v.col, lambda k, _: F.lower(k) == F.lower(key))), F.lit(0)) if self.any_case else F.try_element_at(v.col, key)
+            return V.typed(found, v.dtype.valueType)
         if v.kind == "array":
             # 0-based, from the end where negative
             at = V.to_int(step).cast("int") if isinstance(step, Value) else F.lit(step)
@@ -381,12 +384,12 @@ def _paths(tree) -> list[Path]:
 class OplRun:
     """One pipeline over one signal's frame; ``ports`` gathers what is routed away."""
 
-    def __init__(self, signal: str, functions: dict[str, Callable] | None = None):
-        self.signal, self.functions = signal, dict(functions or {})
+    def __init__(self, signal: str, functions: dict[str, Callable] | None = None, any_case: bool = False):
+        self.signal, self.functions, self.any_case = signal, dict(functions or {}), any_case
         self.ports: dict[str, list[DataFrame]] = {}
 
     def scope(self, df: DataFrame) -> Scope:
-        return Scope("opl", df.schema, {}, self.functions, self.signal)
+        return Scope("opl", df.schema, {}, self.functions, self.signal, any_case=self.any_case)
 
     def stages(self, df: DataFrame, stages: list[Stage]) -> DataFrame:
         for stage in stages:
@@ -609,14 +612,15 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def run_opl(query: str, frames: DataFrame | dict[str, DataFrame], functions: dict[str, Callable] | None = None) -> dict[str, DataFrame]:
+def run_opl(query: str, frames: DataFrame | dict[str, DataFrame], functions: dict[str, Callable] | None = None, any_case: bool = False) -> dict[str, DataFrame]:
     """The pipeline's rows by port; what isn't routed away is under "default".
 
     ``frames`` is the source's frame, or all frames by signal (logs, traces, metrics). Over
     ``signals`` the result has the ports "logs", "traces" and "metrics", and "signal:port" for
-    routed rows. Frames the source doesn't name are left alone.
+    routed rows. Frames the source doesn't name are left alone. With ``any_case`` attribute keys
+    are read in any case (writing always names a key exactly).
     """
-    return _run(opl.parse_opl(query), frames, functions)
+    return _run(opl.parse_opl(query), frames, functions, any_case)
 
 
 def run_ottl(statements: str, df: DataFrame) -> DataFrame:
@@ -624,13 +628,13 @@ def run_ottl(statements: str, df: DataFrame) -> DataFrame:
     return _run(opl.parse_ottl(statements), df, None)[DEFAULT_PORT]
 
 
-def _run(parsed: opl.Pipeline, frames: DataFrame | dict[str, DataFrame], functions) -> dict[str, DataFrame]:
+def _run(parsed: opl.Pipeline, frames: DataFrame | dict[str, DataFrame], functions, any_case: bool = False) -> dict[str, DataFrame]:
     if parsed.source == "signals":
         if isinstance(frames, DataFrame):
             raise QueryError("signals needs a frame for each signal")
         out: dict[str, DataFrame] = {}
         for signal, df in frames.items():
-            done = _run_signal(parsed.stages, df, signal, functions)
+            done = _run_signal(parsed.stages, df, signal, functions, any_case)
             out |= {signal if port == DEFAULT_PORT else f"{signal}:{port}": f for port, f in done.items()}
         return out
     metric = opl.METRIC_SOURCES.get(parsed.source)
@@ -638,10 +642,10 @@ def _run(parsed: opl.Pipeline, frames: DataFrame | dict[str, DataFrame], functio
     df = frames if isinstance(frames, DataFrame) else frames[signal]
     if metric:
         df = df.where(F.col("metric_type") == opl.METRIC_TYPES[metric])
-    return _run_signal(parsed.stages, df, signal, functions)
+    return _run_signal(parsed.stages, df, signal, functions, any_case)
 
 
-def _run_signal(stages: list[Stage], df: DataFrame, signal: str, functions) -> dict[str, DataFrame]:
-    run = OplRun(signal, functions)
+def _run_signal(stages: list[Stage], df: DataFrame, signal: str, functions, any_case: bool) -> dict[str, DataFrame]:
+    run = OplRun(signal, functions, any_case)
     out = {DEFAULT_PORT: run.stages(df, stages)}
     return out | {port: _union(parts) for port, parts in run.ports.items()}
