@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import values as V
 from tidemark.operators import histogram, layout, processors
 from tidemark.plans.compile import run_kql, run_opl, run_ottl
 from tidemark.sources.readers import events_as_logs, parse_syslog
@@ -28,7 +27,7 @@ KQL: dict[str, tuple[str, str, str]] = {
     "where_not_contains": ("documents", "source | where text !contains 'the' and text !has 'und' | project doc_id, lang", "SELECT doc_id, lang FROM documents WHERE NOT contains(lower(text), 'the') AND NOT contains(lower(text), 'und')"),
     "where_in": ("events", "source | where event_type in ('click', 'view') and user_id !in (1, 2, 3) | project event_id", "SELECT event_id FROM events WHERE event_type IN ('click', 'view') AND user_id NOT IN (1, 2, 3)"),
     "where_in_ignoring_case": ("documents", "source | where lang in~ ('EN', 'Fr') and source !in~ ('SRC0') | project doc_id", "SELECT doc_id FROM documents WHERE lower(lang) IN ('en', 'fr') AND lower(source) <> 'src0'"),
-    "where_regex": ("pages", "source | where url matches regex @'x' | project page_id".replace("@'x'", "'page=[0-9]+'"), "SELECT page_id FROM pages WHERE regexp_matches(url, 'page=[0-9]+')"),
+    "where_regex": ("pages", "source | where url matches regex 'page=[0-9]+' | project page_id", "SELECT page_id FROM pages WHERE regexp_matches(url, 'page=[0-9]+')"),
     "where_false": ("events", "source | where false", "SELECT * FROM events WHERE false"),
     "extend_arithmetic": ("lineitem", "source | extend net = l_extendedprice * (1 - l_discount), whole = l_linenumber / 2, rest = l_orderkey % 7, twice = l_linenumber + l_linenumber | project l_orderkey, l_linenumber, net, whole, rest, twice", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, (l_linenumber // 2)::BIGINT AS whole, l_orderkey % 7 AS rest, (l_linenumber + l_linenumber)::BIGINT AS twice FROM lineitem"),
     "project_computed": ("orders", "source | project o_orderkey, half = o_totalprice / 2, urgent = o_orderpriority == '1-URGENT'", "SELECT o_orderkey, o_totalprice / 2 AS half, o_orderpriority = '1-URGENT' AS urgent FROM orders"),
@@ -51,11 +50,8 @@ KQL: dict[str, tuple[str, str, str]] = {
     "array_functions": ("nation", "source | project n_nationkey, last = array_concat(dynamic([1, 2]), dynamic([3]))[-1], first = dynamic(['a', 'b'])[0]", "SELECT n_nationkey, 3::BIGINT AS last, 'a' AS first FROM nation"),
 }
 
-#: user_id, value and props of an event as columns again
-_FLAT = "source | project event_id, user_id = attributes['user_id'], value = attributes['value']"
-
-
 def _flat(df: DataFrame, *more: str) -> DataFrame:
+    """user_id and value of an event as columns again, with further expressions."""
     at = lambda key, f: F.try_element_at("attributes", F.lit(key))[f]
     return df.select("event_id", "severity_text", at("user_id", "int").alias("user_id"), at("value", "double").alias("value"), *(F.expr(m) for m in more))
 
@@ -220,6 +216,3 @@ def oracle_sql() -> dict[str, str]:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries()["kql_summarize_bin"](spark, sf_dir)
-
-
-__all__ = ["V", "flagship", "oracle_sql", "queries"]
