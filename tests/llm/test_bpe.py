@@ -41,7 +41,7 @@ def test_any_text(library, text):
 
 def test_every_code_point(library):
     chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    texts = ["".join(f"a{c}1{c} {c}!" for c in chars[i : i + 500]) for i in range(0, len(chars), 500)]
+    texts = ["".join(f"a{c}1 {c}" for c in chars[i : i + 500]) for i in range(0, len(chars), 500)]
     bad = [i for i, (t, e) in enumerate(zip(texts, library.encode_batch(texts, add_special_tokens=False))) if ids(t) != e.ids]
     assert not bad
 

@@ -40,33 +40,22 @@ class Staging:
         self._n = 0
         atexit.register(self.clear)
 
-    def keep(self, df: DataFrame, name: str = "t", partition_by: list[str] | None = None) -> DataFrame:
+    def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Write ``df`` and read it again: later steps no longer depend on shuffle files."""
         self._n += 1
         path = f"{self.root}/{self._n:03d}_{name}"
-        writer = df.write.mode("overwrite").option("compression", "zstd")
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, df_name_index: int) -> None:
-        """Delete the table written as number ``df_name_index`` (1-based), no longer needed."""
-        self._delete(f"{self.root}/{df_name_index:03d}_*")
-
     def clear(self) -> None:
+        """Delete all of it; results that are read from it must have been used by then."""
         try:
-            self._delete(self.root)
+            sc = self.spark.sparkContext
+            path = sc._jvm.org.apache.hadoop.fs.Path(self.root)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
         except Exception:  # the session may be gone at interpreter exit
             pass
 
-    def _delete(self, pattern: str) -> None:
-        sc = self.spark.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(pattern)
-        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
-        for status in fs.globStatus(path) or []:
-            fs.delete(status.getPath(), True)
-
 
 def crc32_mod(doc_id: Column, mod: int) -> Column:
     """crc32 of the id's decimal text, modulo ``mod``."""

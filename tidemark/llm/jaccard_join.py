@@ -119,7 +119,7 @@ def _dealt(df: DataFrame) -> DataFrame:
     return df.repartition("unit").sortWithinPartitions("unit")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], most: int = 1 << 16) -> Iterator[pa.Table]:
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Tables of whole units, of some thousand rows or one unit each; column 0 is the unit."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -218,8 +218,7 @@ def _needed(units: DataFrame, judge: Judge) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches):
-            t = table.combine_chunks()
-            batch = t.to_batches()[0]
+            batch = table.combine_chunks().to_batches()[0]
             sig = _packed(batch.column(4), np.uint32, SIGNATURE)
             bands, sides = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             keep = []
