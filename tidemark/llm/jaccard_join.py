@@ -16,8 +16,9 @@ label along them until nothing changes.
 Defined results: a null text counts as empty; texts without words are one copy class without
 links; a text of fewer than five words is one shingle; repeated rows are copies of each other; ids
 may repeat and a null id is kept; other input columns are ignored; an empty table gives an empty
-result. A pair at the threshold exactly is linked. A pair of true similarity at the threshold or
-above is missed with a probability of (1 - threshold**4)**24 + tolerance at most (3e-6).
+result. A pair at the threshold exactly is linked. A pair at the threshold shares no band with a
+probability of (1 - 0.8**4)**24 (3e-6, less above it), and each look of the pruning may drop it
+with a chance of the order of the tolerance; nothing else can lose a link.
 """
 
 from __future__ import annotations
