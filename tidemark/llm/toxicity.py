@@ -160,12 +160,14 @@ def _dense(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _expected(patterns: DataFrame, model: LabelModel, pairs: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Sums over all documents, by class: [documents, firings of each voter], and with ``pairs``
-    the joint firings of each two voters. Tasks send sums of fixed size only."""
+    """Sums over all documents: by class, [documents, firings of each voter]; with ``pairs`` also
+    the joint firings of each two voters in toxic texts. A task sends its sums once, of a size
+    that is given by the voters, and of the symmetric joint sums one half."""
     width = len(model.weights)
+    half = np.triu_indices(width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        single, joint = np.zeros((2, width + 1)), np.zeros((2, width, width))
+        single, joint = np.zeros((2, width + 1)), np.zeros((width, width))
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
@@ -174,16 +176,19 @@ def _expected(patterns: DataFrame, model: LabelModel, pairs: bool) -> tuple[np.n
                 for y, share in ((0, (1 - toxic) * n), (1, toxic * n)):
                     single[y, 0] += share.sum()
                     single[y, 1:] += share @ votes
-                    if pairs:
-                        joint[y] += (votes * share[:, None]).T @ votes
-        sums = np.concatenate([single.ravel(), joint.ravel()] if pairs else [single.ravel()])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums), dtype=np.int32)), pa.array(sums)], ["at", "x"])
+                if pairs:
+                    joint += (votes * (toxic * n)[:, None]).T @ votes
+        sums = np.concatenate([single.ravel(), joint[half]] if pairs else [single.ravel()])
+        some = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(sums[some])], ["at", "x"])
 
     rows = patterns.select("votes", "n").mapInArrow(run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
-    sums = np.zeros(2 * (width + 1) + (2 * width * width if pairs else 0))
+    sums = np.zeros(2 * (width + 1) + len(half[0]))
     for r in rows:
         sums[r["at"]] = r["x"]
-    return sums[: 2 * (width + 1)].reshape(2, -1), sums[2 * (width + 1) :].reshape(2, width, width) if pairs else np.zeros(0)
+    joint = np.zeros((width, width))
+    joint[half] = sums[2 * (width + 1) :]
+    return sums[: 2 * (width + 1)].reshape(2, -1), joint + np.triu(joint, 1).T
 
 
 def fit_label_model(patterns: DataFrame, votes: np.ndarray, y: np.ndarray, rounds: int = ROUNDS) -> LabelModel:
@@ -197,7 +202,7 @@ def fit_label_model(patterns: DataFrame, votes: np.ndarray, y: np.ndarray, round
         return LabelModel(float(np.clip(counts[1, 0] / counts[:, 0].sum(), 1e-3, 0.5)), rates, discount)
 
     # voters repeat each other (a word and its beginning): the sample's correlations start the fit
-    current = model(prior, _discount(prior, np.stack([votes[y == c].T @ votes[y == c] for c in (0, 1)]), flat))
+    current = model(prior, _discount(prior, votes[y == 1].T @ votes[y == 1], flat))
     for i in range(rounds):
         last = i == rounds - 1
         single, joint = _expected(patterns, current, last)
@@ -213,7 +218,7 @@ def _discount(single: np.ndarray, joint: np.ndarray, flat: np.ndarray) -> np.nda
     n = max(single[1, 0], 1.0)
     rate = single[1, 1:] / n
     spread = np.sqrt(np.maximum(rate * (1 - rate), 1e-6))
-    correlation = (joint[1] / n - np.outer(rate, rate)) / np.outer(spread, spread)
+    correlation = (joint / n - np.outer(rate, rate)) / np.outer(spread, spread)
     np.fill_diagonal(correlation, 0)
     return flat + np.clip(np.nan_to_num(correlation), 0, 1).sum(axis=1)
 
