@@ -155,6 +155,8 @@ def test_no_labels(spark):
     docs, labels, _ = labelled(spark, 20)
     assert {r.score for r in toxicity.score_toxicity(docs, labels.limit(0)).collect()} == {0.0}
     assert toxicity.score_toxicity(docs.limit(0), labels).count() == 0
+    unnamed = docs.limit(1).withColumn("doc_id", F.lit(None).cast("long"))
+    assert [r.held_out for r in toxicity.score_toxicity(unnamed, labels).collect()] == [False]
 
 
 def test_discount_of_voters_that_repeat():

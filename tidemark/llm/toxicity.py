@@ -246,7 +246,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     known = F.broadcast(training_labels(labels, sample_rows))  # sample_rows rows, in expectation
     sample = staging.keep(source.join(known, source["id"] == known["l_id"]).select("id", "text", "y"), "sample")
     names, pos, neg = _mined(sample, voters)
-    held = (crc32_mod(F.col("id"), FOLDS) == HELD_OUT).alias("held_out")
+    held = F.coalesce(crc32_mod(F.col("id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out")  # null ids aren't
     if not names:
         return source.select(F.col("id").alias(id_col), held, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     votes = staging.keep(_votes(source, names), "votes")
