@@ -142,6 +142,33 @@ def test_lines_brute_force(spark):
     assert got == want
 
 
+def test_short_units_of_a_repeated_passage(spark):
+    short = "Yes! No.\n- milk\n- two eggs\nWell then.\n\nGo home!! Now!!"
+    mixed = f"Oh. {A} So it is."
+    texts = {1: f"{short}\n{mixed}", 2: f"Quite another beginning. Here:\n{short}\nand an end", 3: f"Hm. {mixed} Fine.", 4: "Spam! " * 40, 5: "Ham! " * 8, 6: "Ham! " * 8, 7: "Yes! No.\n- milk"}
+    df = spark.createDataFrame([(i, t, "c") for i, t in texts.items()], DOCS)
+    cut = {r.doc_id: r.text.split() for r in line_dedup.dedup_texts(df).collect()}
+    assert cut[1] == texts[1].split() and cut[5] == texts[5].split() and cut[7] == texts[7].split()
+    assert cut[2] == "Quite another beginning. Here: and an end".split()
+    assert cut[3] == ["Hm.", "Fine."]
+    assert cut[4] == ["Spam!"] * 6 and cut[6] == []
+
+
+def test_every_repeated_run_is_covered():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(300):
+        run = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.choice((1, 1, 2, 3, 5, 6, 9)))) for _ in range(rng.randrange(1, 9))]
+        if sum(len(u.split()) for u in run) < line_dedup.MIN_WORDS:
+            continue
+        passage = "\n".join(run)
+        around = [f"{i} before\n{passage}\n{i} after {i}" for i in range(2)]
+        first = {d for _, _, d in line_dedup.units(around[0])}
+        spans = [(a, b) for a, b, d in line_dedup.units(around[1]) if d in first]
+        assert line_dedup.cut(around[1], spans).split() == "1 before 1 after 1".split()
+
+
 def test_rank_decides(spark):
     df = spark.createDataFrame([(1, A, "b"), (2, A, "a"), (3, A, None)], DOCS)
     got = {r.doc_id: len(r.removed) for r in line_dedup.find_repeats(df, rank_col="n_words").collect()}

@@ -1,9 +1,13 @@
 """Substring dedup by line hashing (operator 8).
 
 Units are lines, and in a line of several sentences each sentence; a unit is normalised to its
-lower-cased words, and units of at least ``min_words`` words are hashed to 128 bits. Digests are
-grouped over all documents; of each group the earliest ranked occurrence stays (by rank, then id,
-then place) and all others are removed. The removed spans are code points of the original text.
+lower-cased words, and units of at least ``min_words`` words are hashed to 128 bits. A shorter one
+is hashed with its neighbours: from each unit on and up to each unit, the fewest units in a row
+that have ``min_words`` words are a unit too. So whatever run of whole units repeats is removed
+whole if it has ``min_words`` words, however short its lines and sentences are, and nothing depends
+on what stands around it. Digests are grouped over all documents; of each group the earliest ranked
+occurrence stays (by rank, then id, then place) and all others are removed. The removed spans are
+code points of the original text; those of neighbours may overlap.
 
 Texts are read once in Python, which writes digests and offsets, never the text; everything after
 that moves digests only. Grouping keeps one row per digest and task before it shuffles, and the
@@ -35,25 +39,45 @@ MIN_WORDS = 6
 
 
 def units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, bytes]]:
-    """(start, end, digest) of each unit that is long enough."""
-    out, at = [], 0
-    ends = [(m.start(), m.end()) for m in UNIT_END.finditer(text)]
-    ends.append((len(text), len(text)))
-    for end, after in ends:
-        if end - at >= 2 * min_words - 1:
-            words = WORDS.findall(text[at:end].lower())
-            if len(words) >= min_words:
-                out.append((at, end, hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest()))
+    """(start, end, digest) of each unit that is long enough, and of each least row of units that
+    is; sorted. Where a row overlaps an equal one (a word that is repeated over and over), both
+    are hashed as one, so that what is repeated never is a part of what stays."""
+    parts, at = [], 0
+    for end, after in [*(m.span() for m in UNIT_END.finditer(text)), (len(text), len(text))]:
+        if words := WORDS.findall(text[at:end].lower()):
+            parts.append((at, end, words))
         at = after
-    return out
+    rows, low, n = set(), 0, 0
+    for high, (_, _, words) in enumerate(parts):
+        n += len(words)
+        while n >= min_words:
+            # the fewest up to ``high``, or the fewest from ``low`` on
+            if n - len(parts[low][2]) < min_words or n - len(words) < min_words:
+                rows.add((low, high))
+            if n - len(parts[low][2]) < min_words:
+                break
+            n -= len(parts[low][2])
+            low += 1
+    digest = lambda i, j: hashlib.blake2b(" ".join(w for p in parts[i : j + 1] for w in p[2]).encode(), digest_size=16).digest()
+    out, seen = [], {}
+    for i, j in sorted(rows):
+        d = digest(i, j)
+        first, last = seen.get(d, (i, -1))
+        if i <= last:
+            d = digest(first, j)
+        else:
+            first = i
+            seen[d] = (i, j)
+        out.append((parts[first][0], parts[j][1], d))
+    return sorted(out)
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
-    """The text without the spans (sorted, disjoint)."""
+    """The text without the spans (sorted)."""
     pieces, at = [], 0
     for a, b in spans:
         pieces.append(text[at:a])
-        at = b
+        at = max(at, b)
     pieces.append(text[at:])
     return "".join(pieces)
 
@@ -79,7 +103,8 @@ def _documents(df: DataFrame, id_col: str, text_col: str, rank: Column, min_word
 
 def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_col: str | None = None, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per input row: id_col, key (hash of the text), n_units (int), removed (array of
-    start, end, first_id: the unit's place, and the document that keeps it, sorted by start)."""
+    start, end, first_id: the unit's place, and the document that keeps it, sorted by start;
+    places may overlap)."""
     staging = Staging(df.sparkSession, "line_dedup")
     rank = F.col(rank_col) if rank_col else F.lit(0)
     docs = staging.keep(_documents(df, id_col, text_col, rank, min_words), "units")
@@ -101,12 +126,17 @@ def dedup_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     found = find_repeats(df, id_col, text_col, **options).select(F.col(id_col).alias("_id"), F.col("key").alias("_key"), F.col("removed").alias("_removed")).distinct()
     keyed = df.withColumn("_own", F.xxhash64(F.col(text_col).cast("string")))
     joined = keyed.join(found, keyed[id_col].eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")), "left")
-    text = F.col(text_col).cast("string")
-    # what stands before the first, between two and after the last removed span
-    n = F.coalesce(F.size("_removed"), F.lit(0))
-    piece = lambda a, b: F.substring(text, a + 1, b - a)
-    starts = F.concat(F.array(F.lit(0)), F.transform("_removed", lambda r: r["end"]))
-    ends = F.concat(F.transform("_removed", lambda r: r["start"]), F.array(F.length(text)))
-    kept = F.array_join(F.zip_with(starts, ends, piece), "")
-    out = joined.withColumn(text_col, F.when(n == 0, text).otherwise(kept))
-    return out.withColumn("removed", F.col("_removed")).drop("_own", "_id", "_key", "_removed")
+    joined = joined.withColumn(text_col, F.col(text_col).cast("string")).withColumn("removed", F.col("_removed")).drop("_own", "_id", "_key", "_removed")
+    at_text, at_removed = joined.columns.index(text_col), joined.columns.index("removed")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                rows = zip(part.column(at_text).to_pylist(), part.column(at_removed).to_pylist(), strict=True)
+                texts = [cut(t, [(r["start"], r["end"]) for r in removed]) if t and removed else t for t, removed in rows]
+                columns = part.columns
+                columns[at_text] = pa.array(texts, part.schema.field(at_text).type)
+                yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
+
+    return joined.mapInArrow(run, joined.schema)
