@@ -62,6 +62,21 @@ def test_fixpoint_ends():
     assert S.scan(gzip.compress(b"x").decode("latin-1")) == []
 
 
+def test_repeated_encoded_secret():
+    once = base64.b64encode(b"password: hunter22").decode()
+    text = f"{once}\n{quote(once[:-4])}%{ord(once[-4]):02x}{once[-3:]} {once}"
+    got = spans(text)
+    assert sum(text[a:b] in once for _, a, b in got) == 2 and len(got) == 3
+    assert S.redact(text, S.scan(text)).count("[SECRET]") == 3
+    nested = base64.b64encode(f"{once} and {once}".encode()).decode()
+    assert len(spans(f"{nested} {nested} {once}")) == 5
+
+
+def test_many_orders_of_decoding():
+    text = "%" + "25" * 14 + "41 \\u005c" + "u005c" * 14 + "u0041 " + base64.b64encode(f"token={KEY}".encode()).decode()
+    assert {"assign", "access"} <= {k for k, _, _ in spans(text)}
+
+
 def test_redact():
     text = f"a token=abcdef12{KEY} z deadbeefdeadbeefdeadbeef"
     assert S.redact(text, S.scan(text)) == "a [SECRET] z [SECRET]"

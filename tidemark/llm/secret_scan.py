@@ -2,9 +2,10 @@
 
 The text is layer 0. Every layer is scanned for secrets and for encoded parts: URL escapes and
 Unicode escapes are replaced in the whole layer, base64 runs are decoded one by one, and decoded
-bytes that are compressed are inflated. Each result is a new layer on the worklist, unless its
-text has been seen (cycle detection), until none is left. A secret found in a deeper layer is
-mapped back, layer by layer, to the span of the original text that encodes it.
+bytes that are compressed are inflated. Each result is a new layer on the worklist until none is
+left. A text that comes up again is decoded once and what it holds is mapped to each of its places;
+a text within itself (a cycle) isn't followed. A secret found in a deeper layer is mapped back,
+layer by layer, to the span of the original text that encodes it.
 
 Defined results: a null text counts as empty and has no spans; repeated rows are scanned each on
 their own; spans are code points, end exclusive, sorted by start, kind and end, without
@@ -66,20 +67,12 @@ class Layer:
     4/3 bytes of the UTF-8 form correspond to base64 characters.
     """
 
-    def __init__(self, text: str, parent: Layer | None = None, parts: list[tuple] = ()):
-        self.text, self.parent, self.parts = text, parent, parts
-        self.depth = 0 if parent is None else parent.depth + 1
+    def __init__(self, text: str, parts: list[tuple] = ()):
+        self.text, self.parts = text, parts
         self.starts = [p[0] for p in parts]
 
-    def origin(self, start: int, end: int) -> tuple[int, int]:
-        """The span of layer 0 that holds this span."""
-        layer = self
-        while layer.parent is not None:
-            start, end = layer._place(start, False), layer._place(end - 1, True)
-            layer = layer.parent
-        return start, end
-
-    def _place(self, at: int, last: bool) -> int:
+    def place(self, at: int, last: bool) -> int:
+        """Where a character stands in the parent: its start there, or its end if it is the last."""
         here, _, there, there_end, step = self.parts[bisect.bisect_right(self.starts, at) - 1]
         if step == 1:
             return there + at - here + last
@@ -111,7 +104,7 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     if not at:
         return None
     put(text[at:], at, len(text), 1)
-    return Layer("".join(pieces), layer, parts)
+    return Layer("".join(pieces), parts)
 
 
 def _url(run: str) -> list[tuple[str, int, int]] | None:
@@ -183,29 +176,54 @@ def _base64(layer: Layer, most: int) -> Iterator[Layer]:
         if text is None and step == 0:
             text = data.decode("utf-8", "replace")
         if text is not None:
-            yield Layer(text, layer, [(0, len(text), m.start(), m.end(), step)])
+            yield Layer(text, [(0, len(text), m.start(), m.end(), step)])
 
 
 def scan(text: str, max_layer_bytes: int = 1 << 24) -> list[tuple[int, int, int, bool, int]]:
     """All secrets of a text: (kind's index, start, end, found in the text itself, depth)."""
-    spans: dict[tuple[int, int, int], tuple[bool, int]] = {}
-    work, seen = [Layer(text)], {text}
-    while work:
-        layer = work.pop()
-        for kind, a, b in find(layer.text):
-            where = layer.origin(a, b)
-            spans.setdefault((where[0], kind, where[1]), (layer.depth == 0, layer.depth))
-        unwrapped = []
-        if "%" in layer.text:
-            unwrapped.append(_replaced(layer, URL_RUN, _url))
-        if "\\" in layer.text:
-            unwrapped.append(_replaced(layer, UNICODE_RUN, _unicode))
-        unwrapped.extend(_base64(layer, max_layer_bytes))
-        for deeper in unwrapped:
-            if deeper is not None and deeper.text not in seen:
-                seen.add(deeper.text)
-                work.append(deeper)
-    return [(kind, a, b, base, depth) for (a, kind, b), (base, depth) in sorted(spans.items())]
+    found: dict[str, dict[tuple[int, int, int], int]] = {}  # by text: (start, kind, end) and least depth
+    work, within = [_Open(Layer(text), max_layer_bytes)], {text: 0}
+    while True:
+        top = work[-1]
+        for deeper in top.deeper:
+            if deeper.text in found:
+                top.merge(deeper, found[deeper.text])
+            elif deeper.text in within:
+                # what lies between depends on where it stands: not to be used elsewhere
+                for between in work[within[deeper.text] + 1 :]:
+                    between.whole = False
+            else:
+                within[deeper.text] = len(work)
+                work.append(_Open(deeper, max_layer_bytes))
+                break
+        else:
+            work.pop()
+            del within[top.layer.text]
+            if not work:
+                return [(kind, a, b, depth == 0, depth) for (a, kind, b), depth in sorted(top.spans.items())]
+            if top.whole:
+                found[top.layer.text] = top.spans
+            work[-1].merge(top.layer, top.spans)
+
+
+class _Open:
+    """A layer whose deeper layers are being scanned, and the secrets met so far in its own places."""
+
+    def __init__(self, layer: Layer, most: int):
+        self.layer, self.whole = layer, True
+        self.spans = {(a, kind, b): 0 for kind, a, b in find(layer.text)}
+        self.deeper = self._unwrapped(most)
+
+    def _unwrapped(self, most: int) -> Iterator[Layer]:
+        for sign, pattern, decode in (("%", URL_RUN, _url), ("\\", UNICODE_RUN, _unicode)):
+            if sign in self.layer.text and (deeper := _replaced(self.layer, pattern, decode)) is not None:
+                yield deeper
+        yield from _base64(self.layer, most)
+
+    def merge(self, deeper: Layer, spans: dict[tuple[int, int, int], int]) -> None:
+        for (a, kind, b), depth in spans.items():
+            at = (deeper.place(a, False), kind, deeper.place(b - 1, True))
+            self.spans[at] = min(self.spans.get(at, depth + 1), depth + 1)
 
 
 def redact(text: str, spans: list[tuple[int, int, int, bool, int]], mark: str = "[SECRET]") -> str:
