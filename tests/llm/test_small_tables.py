@@ -193,6 +193,31 @@ def test_leaks(spark):
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_leave_on_their_own(spark):
+    from tidemark.llm import jaccard_join, toxicity
+
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
+    clean = [" ".join(f"{c}{i}" for i in range(20)) for c in "abcd"]
+    docs = spark.createDataFrame([(None, item, "c"), (None, clean[0], "c"), (5, item, "c"), (5, clean[1], "c"), (None, None, "c")], DOCS)
+    bench = spark.createDataFrame([(10, item)], "item_id long, text string")
+    left = decontam.decontaminate(docs, bench).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in left) == sorted([("None", clean[0]), ("5", clean[1]), ("None", "None")])
+
+    same = [(None, clean[0]), (None, clean[1]), (None, clean[2]), (1, clean[2]), (7, clean[1]), (7, clean[3]), (7, clean[3]), (8, clean[3])]
+    docs = spark.createDataFrame([(i, x, "c") for i, x in same], DOCS)
+    kept = jaccard_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("None", clean[0]), ("1", clean[2]), ("7", clean[1]), ("7", clean[3])])
+
+    good = [f"a quiet walk along river number {i}" for i in range(40)]
+    bad = [f"zorg zorg blarg number {i}" for i in range(40)]
+    rows_ = [(i, x, "c") for i, x in enumerate(good + bad)]
+    docs = spark.createDataFrame([*rows_, (None, "zorg zorg blarg", "c"), (None, "a quiet walk", "c"), (500, "zorg zorg blarg", "c"), (500, "a quiet walk", "c")], DOCS)
+    labels = spark.createDataFrame([(i, int(i >= 40)) for i in range(80)], "doc_id long, toxic int")
+    left = toxicity.reject_toxic(docs, labels).collect()
+    assert sorted((str(r.doc_id), r.text) for r in left if r.doc_id is None or r.doc_id == 500) == [("500", "a quiet walk"), ("None", "a quiet walk")]
+
+
 # top-k
 
 

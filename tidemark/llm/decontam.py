@@ -54,7 +54,7 @@ def benchmark_index(benchmark: DataFrame, id_col: str, text_col: str) -> DataFra
 
 
 def _verified(hits: DataFrame, stretch: int, share: float) -> DataFrame:
-    """Of (id, words, item_id, item_words, offset): the hits whose words agree well enough."""
+    """Of (id, key, words, item_id, item_words, offset): the hits whose words agree well enough."""
     n = F.size("item_words")
     lowest, beyond = F.greatest(F.lit(0), -F.col("offset")), F.least(n, F.size("words") - F.col("offset"))
     same = F.transform(F.sequence(lowest, beyond - 1), lambda j: F.when(F.get("words", j + F.col("offset")) == F.get("item_words", j), 1).otherwise(0))
@@ -64,22 +64,20 @@ def _verified(hits: DataFrame, stretch: int, share: float) -> DataFrame:
     need = F.ceil(F.round(F.col("length") * F.lit(share), 6))
     enough = F.exists(F.sequence(F.lit(0), F.size("same") - F.col("length")), lambda s: total(F.slice("same", s + 1, F.col("length"))) >= need)
     enough = F.when(F.size("same") >= F.col("length"), enough).otherwise(F.lit(False))
-    return hits.where(enough).select("id", "item_id", total(F.col("same")).alias("matched"), F.size("same").alias("overlap"), (F.col("offset") + lowest).alias("start"))
+    return hits.where(enough).select("id", "key", "item_id", total(F.col("same")).alias("matched"), F.size("same").alias("overlap"), (F.col("offset") + lowest).alias("start"))
 
 
 def _laid(texts: DataFrame, met: DataFrame, items: DataFrame) -> DataFrame:
-    """(id, words, item_id, item_words, offset) of every hit. Only texts with a hit are split
+    """(id, key, words, item_id, item_words, offset) of every hit. Only texts with a hit are split
     again; null ids meet too."""
     places = met.groupBy(F.col("id").alias("m_id"), F.col("key").alias("m_key")).agg(F.collect_set(F.struct("item_id", "offset")).alias("places"))
     found = texts.join(places, texts["key"].eqNullSafe(F.col("m_key")) & texts["id"].eqNullSafe(F.col("m_id")))
-    found = found.select("id", words_of(F.col("text")).alias("words"), "places").select("id", "words", F.explode("places").alias("p"))
-    return found.select("id", "words", "p.item_id", "p.offset").join(items, "item_id")
+    found = found.select("id", "key", words_of(F.col("text")).alias("words"), "places").select("id", "key", "words", F.explode("places").alias("p"))
+    return found.select("id", "key", "words", "p.item_id", "p.offset").join(items, "item_id")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", stretch: int = STRETCH, share: float = SHARE, most_hashes: int = MOST_HASHES) -> DataFrame:
-    """One row for each document and item it holds: id_col, item_id, matched (int, agreeing
-    words), overlap (int, words laid on each other), start (int, first such word of the document).
-    """
+def _found(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", stretch: int = STRETCH, share: float = SHARE, most_hashes: int = MOST_HASHES) -> DataFrame:
+    """id, key (hash of the text), item_id, matched, overlap and start of every place that counts."""
     staging = Staging(docs.sparkSession, "decontam")
     index = staging.keep(benchmark_index(benchmark, item_col, item_text_col), "index")
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("key"), F.col(text_col).alias("text"))
@@ -95,16 +93,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     met = staging.keep(met, "met")
     items = index.select("item_id", "item_words").distinct()
     hits = _laid(texts, met, items)
+    return _verified(hits, stretch, share)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", stretch: int = STRETCH, share: float = SHARE, most_hashes: int = MOST_HASHES) -> DataFrame:
+    """One row for each document and item it holds: id_col, item_id, matched (int, agreeing
+    words), overlap (int, words laid on each other), start (int, first such word of the document).
+    """
     best = F.max(F.struct("matched", (-F.col("start")).alias("start"), "overlap")).alias("best")
-    found = _verified(hits, stretch, share).groupBy("id", "item_id").agg(best)
+    found = _found(docs, benchmark, id_col, text_col, item_col, item_text_col, stretch, share, most_hashes).groupBy("id", "item_id").agg(best)
     return found.select(F.col("id").alias(id_col), "item_id", "best.matched", "best.overlap", (-F.col("best.start")).alias("start"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents that hold no benchmark item, with all their columns. Rows are told apart by id
+    and text, so one leaking row takes no other with it that has its id, or none either."""
     staging = Staging(docs.sparkSession, "decontaminated")
-    bad = staging.keep(contaminated(docs, benchmark, id_col=id_col, **options).select(F.col(id_col).alias("_bad")).distinct(), "bad")
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
+    found = _found(docs, benchmark, id_col, text_col, **options)
+    bad = staging.keep(found.select(F.col("id").alias("_bad"), F.col("key").alias("_key")).distinct(), "bad")
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]) & (F.xxhash64(docs[text_col].cast("string")) == bad["_key"]), "left_anti")
 
 
 def contaminated_sql(stretch: int = STRETCH, share: float = SHARE) -> str:

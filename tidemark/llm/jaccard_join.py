@@ -57,26 +57,29 @@ def least_agreements(compared: int, threshold: float, tolerance: float) -> int:
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, cls (digest of the shingle set), n (its size), sig (packed 32-bit minima)."""
-    source = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    """id, key (hash of the text), cls (digest of the shingle set), n (its size), sig (packed 32-bit
+    minima)."""
+    text = F.col(text_col).cast("string")
+    source = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minhash = MinHasher(SIGNATURE)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = [shingle_set(t or "") for t in part.column(1).to_pylist()]
+                sets = [shingle_set(t or "") for t in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
+                        part.column(1),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                         pa.array([len(s) for s in sets], pa.int32()),
                         pa.array([minhash(s).tobytes() for s in sets], pa.binary()),
                     ],
-                    ["id", "cls", "n", "sig"],
+                    ["id", "key", "cls", "n", "sig"],
                 )
 
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, cls binary, n int, sig binary")
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, key long, cls binary, n int, sig binary")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -286,11 +289,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per input row: id_col, class_id (smallest id of the group of linked texts and
     their copies), copy_id (smallest id with the same shingles), n_copies (long, rows of the copy
     class), n_links (long, other copy classes with a similarity of ``threshold`` or more)."""
+    found = _grouped(df, id_col, text_col, threshold, tolerance, block)
+    return found.select(F.col("id").alias(id_col), "class_id", "copy_id", "n_copies", "n_links")
+
+
+def _grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
+    """One row per input row: id, key (hash of the text), class_id, copy_id, n_copies, n_links and
+    first (no_id, id, key: the group's row of the smallest id, null ids last)."""
     staging = Staging(df.sparkSession, "jaccard")
     judge = Judge(threshold, tolerance)
     docs = staging.keep(signatures(df, id_col, text_col), "signatures")
-    members = docs.select("id", "cls")
-    copies = members.groupBy("cls").agg(F.min("id").alias("copy_id"), F.count("*").alias("n_copies"))
+    members = docs.select("id", "key", "cls")
+    copies = members.groupBy("cls").agg(F.min("id").alias("copy_id"), F.count("*").alias("n_copies"), F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key")).alias("first"))
     classes = docs.groupBy("cls").agg(F.first("sig").alias("sig"), F.first("n").alias("n"))
     classes = staging.keep(classes, "classes")
     units = staging.keep(_units(_bands(classes), block), "units")
@@ -310,11 +320,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     labels = _components(links.where("cls != root").select("cls", "root"), staging)
     counted = links.groupBy("cls").agg(F.sum("links").alias("n_links"))
     found = copies.join(labels, "cls", "left").join(counted, "cls", "left")
-    found = found.select("cls", "copy_id", "n_copies", F.coalesce("label", "cls").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    found = found.select("cls", "copy_id", "n_copies", "first", F.coalesce("label", "cls").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     found = staging.keep(found, "found")
-    named = found.groupBy("label").agg(F.min("copy_id").alias("class_id"))
-    whole = found.join(named, "label").select("cls", "class_id", "copy_id", "n_copies", "n_links")
-    return members.join(whole, "cls").select(F.col("id").alias(id_col), "class_id", "copy_id", "n_copies", "n_links")
+    named = found.groupBy("label").agg(F.min("copy_id").alias("class_id"), F.min("first").alias("first"))
+    whole = found.drop("first").join(named, "label").select("cls", "class_id", "copy_id", "n_copies", "n_links", "first")
+    return members.join(whole, "cls").select("id", "key", "class_id", "copy_id", "n_copies", "n_links", "first")
 
 
 def _unique(docs: DataFrame) -> bool:
@@ -332,11 +342,13 @@ def _digests(texts: DataFrame) -> DataFrame:
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of each group of linked texts, that of the smallest id, with all its columns."""
+    """One row of each group of linked texts, that of the smallest id, with all its columns. Rows
+    are told apart by id and text: texts that aren't linked all stay, whatever ids they have."""
     staging = Staging(df.sparkSession, "jaccard_kept")
-    found = staging.keep(near_duplicates(df, id_col, text_col, **options), "groups")
-    gone = found.where(~F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("_gone")).distinct()
-    gone = staging.keep(gone, "gone")
-    stay = df.join(gone, df[id_col].eqNullSafe(gone["_gone"]), "left_anti")
-    repeated = not found.groupBy(id_col).count().where("count > 1").isEmpty()
-    return stay.dropDuplicates([id_col]) if repeated else stay
+    found = staging.keep(_grouped(df, id_col, text_col, **options).select("id", "key", "first"), "groups")
+    stays = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("key") == F.col("first.key"))
+    gone = staging.keep(found.where(~stays).select(F.col("id").alias("_gone"), F.col("key").alias("_key")).distinct(), "gone")
+    keyed = df.withColumn("_own", F.xxhash64(F.col(text_col).cast("string")))
+    stay = keyed.join(gone, keyed[id_col].eqNullSafe(gone["_gone"]) & (keyed["_own"] == gone["_key"]), "left_anti")
+    repeated = not found.groupBy("id", "key").count().where("count > 1").isEmpty()
+    return (stay.dropDuplicates([id_col, "_own"]) if repeated else stay).drop("_own")

@@ -239,8 +239,9 @@ def fit_classifier(votes: np.ndarray, target: np.ndarray, steps: int = 60, ridge
     return w
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, voters: int = VOTERS) -> DataFrame:
-    """One row per document: id_col, held_out (boolean), score (double), predicted (int)."""
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, voters: int = VOTERS, with_key: bool = False) -> DataFrame:
+    """One row per document: id_col, held_out (boolean), score (double), predicted (int); with
+    ``with_key`` also key (hash of the text)."""
     staging = Staging(docs.sparkSession, "toxicity")
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     known = F.broadcast(training_labels(labels, sample_rows))  # sample_rows rows, in expectation
@@ -248,8 +249,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     names, pos, neg = _mined(sample, voters)
     held = F.coalesce(crc32_mod(F.col("id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out")  # null ids aren't
     if not names:
-        return source.select(F.col("id").alias(id_col), held, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    votes = staging.keep(_votes(source, names), "votes")
+        none = source.withColumn("key", F.xxhash64("text")) if with_key else source
+        return none.select(F.col("id").alias(id_col), held, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), *["key"] * with_key)
+    carried = F.struct("id", *[F.xxhash64("text").alias("key")] * with_key).alias("id")
+    votes = staging.keep(_votes(source.select(carried, "text"), names).select("id.*", "votes"), "votes")
     patterns = staging.keep(votes.groupBy("votes").agg(F.count("*").alias("n")), "patterns")
     rows = sample.select(F.col("y").cast("int").alias("id"), "text")
     rows = _votes(rows, names).collect()
@@ -265,13 +268,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     by_voter = F.array(*(F.lit(float(w)) for w in weights[:-1]))
     logit = F.aggregate("votes", F.lit(float(weights[-1])), lambda s, v: s + F.get(by_voter, v))
     score = 1 / (1 + F.exp(-logit))
-    out = votes.select("id", held, score.alias("score"))
-    return out.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    out = votes.select("id", held, score.alias("score"), *["key"] * with_key)
+    return out.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), *["key"] * with_key)
 
 
-def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that aren't predicted toxic, with all their columns."""
+def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents that aren't predicted toxic, with all their columns. Rows are told apart by
+    id and text, so one toxic row takes no other with it that has its id, or none either."""
     staging = Staging(docs.sparkSession, "toxic_rejected")
-    scored = score_toxicity(docs, labels, id_col, **options)
-    bad = staging.keep(scored.where("predicted = 1").select(F.col(id_col).alias("_bad")).distinct(), "bad")
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
+    scored = score_toxicity(docs, labels, id_col, text_col, with_key=True, **options)
+    bad = staging.keep(scored.where("predicted = 1").select(F.col(id_col).alias("_bad"), F.col("key").alias("_key")).distinct(), "bad")
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]) & (F.xxhash64(docs[text_col].cast("string")) == bad["_key"]), "left_anti")
