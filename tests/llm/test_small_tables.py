@@ -193,6 +193,15 @@ def test_leaks(spark):
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_item_without_id(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
+    docs = spark.createDataFrame([(1, f"so {item}", "c"), (2, "nothing of the kind " * 10, "c")], DOCS)
+    bench = spark.createDataFrame([(None, item), (3, "other " * 20)], "item_id long, text string")
+    got = decontam.contaminated(docs, bench).collect()
+    assert [(r.doc_id, r.item_id, r.matched, r.start) for r in got] == [(1, None, 20, 1)]
+    assert [r.doc_id for r in decontam.decontaminate(docs, bench).collect()] == [2]
+
+
 def test_rows_that_share_an_id_leave_on_their_own(spark):
     from tidemark.llm import jaccard_join, toxicity
 

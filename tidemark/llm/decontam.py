@@ -13,7 +13,8 @@ with a hit, and only places with one, are compared word by word.
 Defined results: words are lower-cased runs of letters, digits and characters beyond ASCII; null
 texts count as empty; a text or item of fewer words than a mask spans has no window and hits
 nothing; of several places of an item in a document the one with most agreeing words counts, the
-earliest among ties; repeated rows of one id count as one document that holds what any row holds;
+earliest among ties; an item without an id counts like any other, under a null item_id (the SQL
+leaves such items out); repeated rows of one id count as one document that holds what any row holds;
 other input columns are ignored; empty tables give an empty result.
 """
 
@@ -73,7 +74,8 @@ def _laid(texts: DataFrame, met: DataFrame, items: DataFrame) -> DataFrame:
     places = met.groupBy(F.col("id").alias("m_id"), F.col("key").alias("m_key")).agg(F.collect_set(F.struct("item_id", "offset")).alias("places"))
     found = texts.join(places, texts["key"].eqNullSafe(F.col("m_key")) & texts["id"].eqNullSafe(F.col("m_id")))
     found = found.select("id", "key", words_of(F.col("text")).alias("words"), "places").select("id", "key", "words", F.explode("places").alias("p"))
-    return found.select("id", "key", "words", "p.item_id", "p.offset").join(items, "item_id")
+    found = found.select("id", "key", "words", F.col("p.item_id").alias("met_id"), "p.offset")
+    return found.join(items, F.col("met_id").eqNullSafe(items["item_id"])).drop("met_id")
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", stretch: int = STRETCH, share: float = SHARE, most_hashes: int = MOST_HASHES) -> DataFrame:
