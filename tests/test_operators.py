@@ -228,3 +228,29 @@ def test_sinks(spark, tmp_path):
 def test_quantile_of_nothing(spark):
     df = spark.createDataFrame([(0, 0.0, None, None, 0, 20, [])], "count long, sum double, min double, max double, zero_count long, scale int, buckets array<struct<index:long,n:long>>")
     assert math.isnan(df.select(histogram.quantile(0.5)).first()[0])
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_numbering_over_many_ranges(spark, adaptive):
+    """No row is lost or numbered twice, however many ranges and tasks there are."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        n = 1_000_000
+        wide = spark.range(0, n, 1, 12).select("id", F.pmod(F.xxhash64("id"), F.lit(5000)).alias("k"), F.when(F.col("id") % 97 > 0, F.lit("x" * 20)).alias("t"))
+        kept = processors.sample_ratio(wide, 2, 5, ["k", "id"])
+        assert kept.count() == n * 2 // 5 and kept.select("id").distinct().count() == n * 2 // 5
+        sizes = processors.batch_by_items(wide, 1000, ["t", "k", "id"]).groupBy("_batch").count()
+        assert [tuple(r) for r in sizes.groupBy("count").agg(F.count("*")).collect()] == [(1000, n // 1000)]
+        order = processors.batch_by_items(wide, 250_000, ["k", "id"]).groupBy("_batch").agg(F.min("k").alias("a"), F.max("k").alias("b")).orderBy("_batch").collect()
+        assert all(x["b"] <= y["a"] for x, y in zip(order, order[1:]))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_numbering_with_nulls_and_one_key(spark):
+    df = spark.createDataFrame([(None, i) for i in range(50)] + [(1, i) for i in range(50, 100)], "k int, id long")
+    assert processors.batch_by_items(df, 10, ["k"]).groupBy("_batch").count().where("count = 10").count() == 10
+    assert processors.sample_ratio(df.limit(0), 1, 2, ["k"]).count() == 0

@@ -148,16 +148,39 @@ def sample_ratio(df: DataFrame, emit: int, out_of: int, order_by: list[str], bat
     return ranked.join(sizes, F.col(batch_col).eqNullSafe(F.col("_b"))).where(F.col("_n") <= F.col("_quota")).drop("_n", "_b", "_quota")
 
 
+#: Rows that are drawn by range to place the bounds, and ranges at most.
+DRAWN, MOST_RANGES = 32, 4096
+
+
+def _range_of(df: DataFrame, order_by: list[str]) -> Column:
+    """The range of each row's place in the order: how many of some fixed bounds are at or below it.
+
+    The bounds are drawn once and stand in the plan as values, so every branch of a plan and every
+    task that is run again puts a row in the same range."""
+    ranges = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST_RANGES)
+    key = F.struct(*order_by)
+    drawn = df.select(key.alias("k")).orderBy(F.rand(0)).limit(DRAWN * ranges)  # a bounded number of rows
+    drawn = [r["k"] for r in drawn.orderBy("k").collect()]
+    bounds = list(dict.fromkeys(drawn[len(drawn) * i // ranges] for i in range(1, ranges))) if drawn else []
+    if not bounds:
+        return F.lit(0)
+    kinds = [df.schema[n].dataType for n in order_by]
+    listed = F.array(*(F.struct(*(F.lit(v).cast(k).alias(n) for v, k, n in zip(b, kinds, order_by, strict=True))) for b in bounds))
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))))
+    below = lambda at: (at <= len(bounds)) & F.coalesce(F.get(listed, at - 1) <= key, F.lit(False))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(below(at + step), at + step).otherwise(at))
+
+
 def _numbered(df: DataFrame, order_by: list[str]) -> DataFrame:
     """_n: 0-based position in the order of all rows, without bringing them into one task: ranges
     of the order are numbered apart, on top of the counts of the ranges before."""
-    ranged = df.repartitionByRange(*order_by).withColumn("_part", F.spark_partition_id())
+    ranged = df.withColumn("_part", _range_of(df, order_by))
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_size"))
-    before = F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # one row a task
+    before = F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # one row a range
     sizes = sizes.select(F.col("_part").alias("_p"), F.coalesce(before, F.lit(0)).alias("_before"))
     within = F.row_number().over(Window.partitionBy("_part").orderBy(*order_by)) - 1
-    joined = ranged.withColumn("_w", within).join(F.broadcast(sizes), F.col("_part") == F.col("_p"))
-    return joined.withColumn("_n", F.col("_before") + F.col("_w")).drop("_part", "_w", "_p", "_before")
+    joined = ranged.withColumn("_w", within).join(F.broadcast(sizes), F.col("_part") == F.col("_p"), "left")
+    return joined.withColumn("_n", F.coalesce("_before", F.lit(0)) + F.col("_w")).drop("_part", "_w", "_p", "_before")
 
 
 def batch_by_items(df: DataFrame, items: int, order_by: list[str], name: str = "_batch") -> DataFrame:
