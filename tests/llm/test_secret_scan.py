@@ -1,7 +1,12 @@
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
+import random
 import re
+import time
+import zlib
 from urllib.parse import quote
 
 from tidemark.llm import secret_scan as S
@@ -77,6 +82,53 @@ def test_many_orders_of_decoding():
     assert {"assign", "access"} <= {k for k, _, _ in spans(text)}
 
 
+def test_hard_parts():
+    token = b"token=abcdefgh"
+    b64 = lambda b: base64.b64encode(b).decode()
+    pct = lambda s: "".join(f"%{ord(c):02x}" for c in s)
+    for text in (
+        b64(gzip.compress(b" " * (16 << 20) + token)),
+        b64(gzip.compress(b"x") + gzip.compress(token)),
+        b64(bz2.compress(gzip.compress(token))),
+        b64(lzma.compress(token)),
+        "path/" + b64(zlib.compress(token)),
+        "path/" + b64(token),
+        base64.encodebytes(b"a text that is long enough to be folded, and then token=abc" + token).decode(),
+        quote(gzip.compress(token)),
+        quote(quote(gzip.compress(token))),
+        pct(pct(pct(token.decode()))),
+        "%ff" + pct(token.decode()),
+        "\\ud800token\\u003dabcdefgh",
+        "%" + "25" * 50 + "74oken=abcdefgh",
+    ):
+        got = S.scan(text)
+        assert any(k == 0 for k, *_ in got), text[:80]
+        assert "token" not in S.redact(text, got)
+
+
+def test_planted_in_random_nestings():
+    """Every copy of a secret, wrapped in any order and repeated, is found at its place and redacted."""
+    rng = random.Random(11)
+    wraps = [lambda s: quote(s, safe=""), lambda s: "".join(f"%{b:02X}" for b in s.encode()), lambda s: "".join(f"\\u{ord(c):04x}" for c in s), lambda s: base64.b64encode(s.encode()).decode(), lambda s: base64.b64encode(gzip.compress(s.encode(), mtime=0)).decode(), lambda s: base64.b64encode(zlib.compress(s.encode())).decode()]
+    for _ in range(300):
+        part = f"password: hunter{rng.randrange(10, 99)}"
+        for _ in range(rng.randrange(1, 4)):
+            part = rng.choice(wraps)(part)
+        text = "é <" + "> and <".join([part] * rng.randrange(1, 4)) + "> end"
+        got = S.scan(text)
+        at = -1
+        while (at := text.find(part, at + 1)) >= 0:
+            assert any(k == 0 and at <= a < b <= at + len(part) for k, a, b, *_ in got), (text, got)
+        assert part not in S.redact(text, got)
+
+
+def test_long_nested_texts_take_seconds():
+    start = time.monotonic()
+    for text in ("%" + "25" * 500_000 + "41", "\\" + "u005c" * 200_000 + "u0041", "%5cu0025" * 100_000, "%3" * 8000 + "%31" + "a" * 24, "A" * 1_000_000, "H4sI" * 50_000, "/eJ" * 50_000, "/eJz" * 50_000):
+        S.scan(text)
+    assert time.monotonic() - start < 30
+
+
 def test_redact():
     text = f"a token=abcdef12{KEY} z deadbeefdeadbeefdeadbeef"
     assert S.redact(text, S.scan(text)) == "a [SECRET] z [SECRET]"

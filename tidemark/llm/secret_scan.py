@@ -1,29 +1,45 @@
 """Secret scans (operator 4): a recursive decoding worklist.
 
-The text is layer 0. Every layer is scanned for secrets and for encoded parts: URL escapes and
-Unicode escapes are replaced in the whole layer, base64 runs are decoded one by one, and decoded
-bytes that are compressed are inflated. Each result is a new layer on the worklist until none is
-left. A text that comes up again is decoded once and what it holds is mapped to each of its places;
-a text within itself (a cycle) isn't followed. A secret found in a deeper layer is mapped back,
-layer by layer, to the span of the original text that encodes it.
+The text is layer 0. Every layer is scanned for secrets and for encoded parts, and each encoded
+part is a new layer on the worklist until none is left:
+
+- URL and Unicode escapes are replaced in place, all at once, in the stretch of text around them
+  that a secret could reach. An escape that yields the sign that leads the next one (``%2525…``) is
+  followed on the spot: what stands between is a part of what was scanned before. Escapes that
+  come to light so are replaced round by round, and only what stands around the changed
+  characters is scanned again.
+- Base64 runs, also those folded over lines, are decoded at each of the four places where they may
+  begin, since a run may be glued to what stands before it.
+- Compressed data (gzip, zlib, bzip2, xz), wherever it begins in a decoded layer or a base64 run, is
+  inflated, all its members, as often as it holds compressed data again. It is read as a stream, in
+  windows that end where no secret can stand, so memory is bounded and nothing is left out.
+
+Decoded layers are read as bytes, one character each: secrets are ASCII, so a byte that is no text
+hides nothing beside it. A secret in a deeper layer is mapped back, layer by layer, to the span of
+the original text that encodes it (in compressed data: the whole part). Every occurrence of an
+encoded part is mapped on its own; the same decoded text at the same place isn't followed twice,
+and a stream that begins with the same 64 KiB as one that it came out of is a cycle and ends there.
+Base64 runs under 16 characters hold no secret: the shortest one has 12 bytes.
 
 Defined results: a null text counts as empty and has no spans; repeated rows are scanned each on
 their own; spans are code points, end exclusive, sorted by start, kind and end, without
-repetition; other input columns are ignored; an empty table gives an empty result. Inflated
-layers are bounded by ``max_layer_bytes`` (a guard against decompression bombs): a larger one is
-scanned up to that many bytes.
+repetition; other input columns are ignored; an empty table gives an empty result. Texts of any
+length are scanned whole, in time about proportional to their length and that of what they
+decode to. In inflated data, an unbroken run of more than ``WINDOW`` bytes is decoded in windows
+that overlap, so compressed data within such a run is unwrapped as far as a window holds it.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import bisect
 import bz2
+import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,11 +54,29 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 ACCESS_LEAST = 20
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-UNICODE_RUN = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
-UNICODE_ONE = re.compile(r"\\[uUx]\{?([0-9A-Fa-f]+)\}?")
-BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
+#: What an escape's lead is followed by, and the digits in it.
+AFTER_LEAD = {
+    "%": re.compile(r"([0-9A-Fa-f]{2})"),
+    "\\": re.compile(r"(?:u([0-9A-Fa-f]{4})|u\{([0-9A-Fa-f]{1,6})\}|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))"),
+}
+ESCAPE = re.compile(r"%[0-9A-Fa-f]{2}|\\(?:u[0-9A-Fa-f]{4}|u\{[0-9A-Fa-f]{1,6}\}|U[0-9A-Fa-f]{8}|x[0-9A-Fa-f]{2})")
+#: Characters that a secret or an encoded part may hold; all others end a stretch.
+STRETCH = re.compile(r"""[A-Za-z0-9+/_.=\-"': \r\n%\\{}!~*()]+""")
+WITHIN = frozenset(chr(c) for c in range(128) if STRETCH.fullmatch(chr(c))) - AFTER_LEAD.keys()
+BREAK = re.compile(rb"""[^A-Za-z0-9+/_.=\-"': \r\n%\\{}!~*()]""")
+BLANKS = re.compile(rb" {3,}")
+BASE64_LEAST = 16
+BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}+")
+#: Lines that hold nothing else after a line's last run; the last one may be short.
+FOLDED = re.compile(r"[A-Za-z0-9+/_-]{16,}+(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]{16,}+(?=\r?\n|=|$))*+(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]{2,15}+(?=\r?\n|=|$))?")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+URL_SAFE = str.maketrans("-_", "+/")
+#: How compressed data begins: as bytes, and in base64.
+PACKED = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\x78[\x01\x5e\x9c\xda]")
+PACKED_WITHIN = re.compile("\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\x78[\x01\x9c\xda]")
+PACKED_FIRST = "\x1fB\xfdx"
+PACKED_BASE64 = re.compile(r"H4sI|Qlpo[MNO][TDjzTDjz]FBWSZTW|Qlpo[MNO]|/Td6WFoA|_Td6WFoA|(?:^|(?<=[/_.+-]))e[AFJN]")
+CHUNK, WINDOW, OVERLAP, HEAD, PROBE = 1 << 20, 1 << 22, 1 << 20, 1 << 16, 192
 
 SPAN_TYPE = "array<struct<kind:string,start:int,end:int,base:boolean,depth:int>>"
 
@@ -60,170 +94,276 @@ def find(text: str) -> list[tuple[int, int, int]]:
 
 
 class Layer:
-    """A decoded text and where its parts stand in its parent.
-
-    ``parts`` are (start here, end here, start there, end there, step): with step 1 characters
-    correspond one to one, with step 0 the part stands for the whole span there, and with step
-    4/3 bytes of the UTF-8 form correspond to base64 characters.
-    """
-
-    def __init__(self, text: str, parts: list[tuple] = ()):
-        self.text, self.parts = text, parts
-        self.starts = [p[0] for p in parts]
-
-    def place(self, at: int, last: bool) -> int:
-        """Where a character stands in the parent: its start there, or its end if it is the last."""
-        here, _, there, there_end, step = self.parts[bisect.bisect_right(self.starts, at) - 1]
-        if step == 1:
-            return there + at - here + last
-        if step == 0:
-            return there_end if last else there
-        n = len(self.text[here : at + last].encode())
-        return min(there_end, there + (-(-n * 4 // 3) if last else n * 4 // 3))
-
-
-def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
-    """The layer with each match's decoded form in its place; None if nothing decodes."""
-    text, pieces, parts, at, length = layer.text, [], [], 0, 0
-
-    def put(piece: str, a: int, b: int, step: int) -> None:
-        nonlocal length
-        if piece:
-            pieces.append(piece)
-            parts.append((length, length + len(piece), a, b, step))
-            length += len(piece)
-
-    for m in pattern.finditer(text):
-        new = decode(m[0])
-        if new is None:
-            continue
-        put(text[at : m.start()], at, m.start(), 1)
-        for piece, a, b in new:
-            put(piece, m.start() + a, m.start() + b, 0)
-        at = m.end()
-    if not at:
-        return None
-    put(text[at:], at, len(text), 1)
-    return Layer("".join(pieces), parts)
-
-
-def _url(run: str) -> list[tuple[str, int, int]] | None:
-    data = bytes.fromhex(run.replace("%", ""))
-    try:
-        decoded = data.decode()
-    except UnicodeDecodeError:
-        return None
-    out, at = [], 0
-    for c in decoded:
-        n = 3 * len(c.encode())
-        out.append((c, at, at + n))
-        at += n
-    return out
-
-
-def _unicode(run: str) -> list[tuple[str, int, int]] | None:
-    units = [(int(m[1], 16), m.start(), m.end()) for m in UNICODE_ONE.finditer(run)]
-    out, i = [], 0
-    while i < len(units):
-        code, a, b = units[i]
-        if 0xD800 <= code < 0xDC00 and i + 1 < len(units) and 0xDC00 <= units[i + 1][0] < 0xE000:
-            code, b = 0x10000 + ((code - 0xD800) << 10) + units[i + 1][0] - 0xDC00, units[i + 1][2]
-            i += 1
-        if code > 0x10FFFF or 0xD800 <= code < 0xE000:
+    """A text that was decoded out of a parent, and where its characters stand there. ``escapes``
+    tells how often its escapes have been replaced: 0, 1, or 2 for until none was left."""
+
+    def __init__(self, text: str, parent: Layer | None = None, place: Callable[[int, int], tuple[int, int]] | None = None, escapes: int = 0, rounds: int = 1):
+        self.text, self.parent, self._place, self.escapes = text, parent, place, escapes
+        self.depth = parent.depth + rounds if parent else 0
+
+    def origin(self, a: int, b: int) -> tuple[int, int]:
+        """The span of the original text that holds the characters from a to b."""
+        layer = self
+        while layer.parent is not None:
+            a, b = layer._place(a, b)
+            layer = layer.parent
+        return a, b
+
+
+def _unescaped(layer: Layer, begin: int, end: int) -> Layer:
+    """The stretch with every escape replaced."""
+    text, pieces, parts, at, length = layer.text, [], [], begin, 0
+    while (m := ESCAPE.search(text, at, end)) is not None:
+        lead, stop = m[0][0], m.start() + 1
+        code = None
+        while lead in AFTER_LEAD and (body := AFTER_LEAD[lead].match(text, stop, end)) is not None:
+            code, stop = int(body[body.lastindex], 16), body.end()
+            lead = chr(code) if code < 128 else ""
+        if m.start() > at:
+            pieces.append(text[at : m.start()])
+            parts.append((length, at, 0))
+            length += m.start() - at
+        pieces.append(chr(code) if code <= 0x10FFFF else "\ufffd")
+        parts.append((length, m.start(), stop))
+        length += 1
+        at = stop
+    pieces.append(text[at:end])
+    parts.append((length, at, 0))
+    starts = [p[0] for p in parts]
+
+    def place(a: int, b: int) -> tuple[int, int]:
+        here, there, _ = parts[bisect.bisect_right(starts, a) - 1]
+        last, its, stop = parts[bisect.bisect_right(starts, b - 1) - 1]
+        return there + a - here, stop or its + b - last
+
+    return Layer("".join(pieces), layer, place, 1)
+
+
+def _settled(layer: Layer, begin: int, end: int) -> Iterator[Layer]:
+    """Round by round, what stands around the characters that the escapes of a stretch turn into.
+    The stretch is a linked list, so a round costs what it changes and scans."""
+    n = end - begin
+    chars, stop = list(layer.text[begin:end]), list(range(begin + 1, end + 1))
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+
+    def ahead(i: int, most: int = 10) -> list[int]:
+        out = []
+        while i < n and len(out) < most:
+            out.append(i)
+            i = after[i]
+        return out
+
+    def body(i: int) -> tuple[re.Match, list[int]] | None:
+        if chars[i] not in AFTER_LEAD:
             return None
-        out.append((chr(code), a, b))
-        i += 1
-    return out
-
-
-def _inflated(data: bytes, most: int) -> bytes | None:
-    """Inflated bytes of gzip, zlib, bzip2 or xz data, ``most`` at most; None if it is none."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(data, most)
-        if data[:1] == b"\x78" and len(data) > 2 and (data[0] << 8 | data[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(data, most)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, most)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor(memlimit=1 << 28).decompress(data, most)
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-        pass
-    return None
-
-
-def _readable(data: bytes) -> str | None:
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return None if not text or CONTROL.search(text) else text
-
-
-def _base64(layer: Layer, most: int) -> Iterator[Layer]:
-    for m in BASE64_RUN.finditer(layer.text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        body = body[: len(body) - (len(body) % 4 == 1)]
+        nodes = ahead(after[i])
+        m = AFTER_LEAD[chars[i]].match("".join(chars[j] for j in nodes))
+        return m and (m, nodes)
+
+    rounds, leads = 0, [m.start() - begin for m in ESCAPE.finditer(layer.text, begin, end)]
+    while leads:
+        rounds += 1
+        for i in leads:
+            while (found := body(i)) is not None:
+                m, nodes = found
+                code, last = int(m[m.lastindex], 16), nodes[m.end() - 1]
+                chars[i] = chr(code) if code <= 0x10FFFF else "\ufffd"
+                stop[i], after[i] = stop[last], after[last]
+                if after[i] < n:
+                    before[after[i]] = i
+        changed, leads, covered, packed = leads, {}, set(), {}
+        for i in changed:
+            lead = i
+            for _ in range(10):
+                if lead < 0 or chars[lead] in AFTER_LEAD:
+                    break
+                if chars[lead] in PACKED_FIRST:
+                    packed[lead] = None
+                lead = before[lead]
+            if lead >= 0 and body(lead) is not None:
+                leads[lead] = None
+            if i in covered:
+                continue
+            low = high = i
+            while before[low] >= 0 and chars[before[low]] in WITHIN:
+                low = before[low]
+            while after[high] < n and chars[after[high]] in WITHIN:
+                high = after[high]
+            nodes = [low]
+            while nodes[-1] != high:
+                nodes.append(after[nodes[-1]])
+            covered.update(nodes)
+            stops = [stop[j] for j in nodes]
+            yield Layer("".join(chars[j] for j in nodes), layer, lambda a, b, nodes=nodes, stops=stops: (begin + nodes[a], stops[b - 1]), 2, rounds)
+        for i in packed:
+            if PACKED_WITHIN.match("".join(chars[j] for j in ahead(i))):
+                if not _opens("".join(chars[j] for j in ahead(i, PROBE)).encode("latin-1", "ignore")):
+                    continue
+                nodes = ahead(i, n)
+                data = "".join(chars[j] for j in nodes)
+                data = data[: next((k for k, c in enumerate(data) if c > "\xff"), len(data))]
+                yield from _unpacked(layer, data.encode("latin-1"), begin + i, stop[nodes[len(data) - 1]])
+
+
+def _inflate(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """Inflated chunks of all members that follow each other; what can't be inflated ends it."""
+    data, d = b"", None
+    while True:
+        if not data:
+            data = next(chunks, b"")
+            if not data:
+                return
         try:
-            data = base64.b64decode(body + "=" * (-len(body) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        step, inflated = 4 / 3, _inflated(data, most)
-        while inflated is not None:  # compressed more than once
-            data, step = inflated, 0
-            inflated = _inflated(data, most)
-        text = _readable(data)
-        if text is None and step == 0:
-            text = data.decode("utf-8", "replace")
-        if text is not None:
-            yield Layer(text, [(0, len(text), m.start(), m.end(), step)])
-
-
-def scan(text: str, max_layer_bytes: int = 1 << 24) -> list[tuple[int, int, int, bool, int]]:
-    """All secrets of a text: (kind's index, start, end, found in the text itself, depth)."""
-    found: dict[str, dict[tuple[int, int, int], int]] = {}  # by text: (start, kind, end) and least depth
-    work, within = [_Open(Layer(text), max_layer_bytes)], {text: 0}
+            if d is None:
+                while len(data) < 10 and (more := next(chunks, b"")):
+                    data += more
+                if not PACKED.match(data):
+                    return
+                first = data[0]
+                d = zlib.decompressobj(31) if first == 0x1F else zlib.decompressobj() if first == 0x78 else bz2.BZ2Decompressor() if first == 0x42 else lzma.LZMADecompressor(memlimit=1 << 28)
+            is_zlib = hasattr(d, "unconsumed_tail")
+            out = d.decompress(data, CHUNK)
+            data = d.unconsumed_tail if is_zlib else b""
+            if out:
+                yield out
+            while not is_zlib and not d.eof and not d.needs_input:
+                if out := d.decompress(b"", CHUNK):
+                    yield out
+            if d.eof:
+                data, d = d.unused_data, None
+        except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+            return
+
+
+def _inflated(data: bytes) -> Iterator[bytes] | None:
+    """Chunks of what is left when nothing in the data is compressed as a whole; None if it isn't."""
+    make: Callable[[], Iterator[bytes]] = lambda: iter((data,))
+    heads, opened = [data[:HEAD]], False
     while True:
-        top = work[-1]
-        for deeper in top.deeper:
-            if deeper.text in found:
-                top.merge(deeper, found[deeper.text])
-            elif deeper.text in within:
-                # what lies between depends on where it stands: not to be used elsewhere
-                for between in work[within[deeper.text] + 1 :]:
-                    between.whole = False
-            else:
-                within[deeper.text] = len(work)
-                work.append(_Open(deeper, max_layer_bytes))
-                break
-        else:
+        deeper = lambda make=make: _inflate(make())
+        stream = deeper()
+        head = next(stream, b"")
+        if not head or head[:HEAD] in heads:
+            return make() if opened else None
+        opened = True
+        heads.append(head[:HEAD])
+        make = deeper if next(stream, None) is not None else lambda head=head: iter((head,))
+        if not PACKED.match(head):
+            return make()
+
+
+def _windows(chunks: Iterator[bytes]) -> Iterator[str]:
+    """The stream in windows that end at a break, or overlap where there is none."""
+    held = b""
+    for chunk in chunks:
+        held = BLANKS.sub(b"  ", held + chunk) if b"   " in chunk else held + chunk
+        if len(held) > WINDOW:
+            m = BREAK.search(held[::-1])
+            cut = len(held) - m.start() if m else 0
+            yield (held[:cut] if cut > OVERLAP else held).decode("latin-1")
+            held = held[cut:] if cut > OVERLAP else held[-OVERLAP:]
+    if held:
+        yield held.decode("latin-1")
+
+
+def _opens(data: bytes) -> bool:
+    """Whether compressed data may begin so: what is no header, or fails at once, isn't followed."""
+    if not PACKED.match(data):
+        return False
+    if data[0] == 0x1F and len(data) >= 10 and (data[3] & 0xE0 or data[8] not in (0, 2, 4) or 13 < data[9] < 255):
+        return False
+    try:
+        if data[0] in (0x1F, 0x78):
+            zlib.decompressobj(31 if data[0] == 0x1F else 15).decompress(data, PROBE)
+        return True
+    except zlib.error:
+        return False
+
+
+def _unpacked(layer: Layer, data: bytes, a: int, b: int) -> Iterator[Layer]:
+    """Layers of the compressed data that stands from a to b of the layer."""
+    chunks = _inflated(data)
+    for text in _windows(chunks) if chunks is not None else ():
+        yield Layer(text, layer, lambda _a, _b: (a, b))
+
+
+def _decoded(body: str) -> bytes:
+    body = body[: len(body) - (len(body) % 4 == 1)]
+    return base64.b64decode(body + "=" * (-len(body) % 4))
+
+
+def _base64(layer: Layer, first: bool, seen: set) -> Iterator[Layer]:
+    """What the base64 runs of a layer hold, at each place where they may begin."""
+    runs: dict[tuple[int, int], list[tuple[int, int]] | None] = {m.span(): None for m in BASE64_RUN.finditer(layer.text)}
+    if runs and "\n" in layer.text:
+        runs |= {m.span(): [(n.start(), n.end()) for n in LINE.finditer(layer.text, *m.span())] for m in FOLDED.finditer(layer.text) if "\n" in m[0]}
+    for (a, b), lines in runs.items():
+        body = layer.text[a:b] if lines is None else "".join(layer.text[x:y] for x, y in lines)
+        if not first:  # deeper layers repeat what stood in the ones before
+            key = ("run", *layer.origin(a, b), hashlib.blake2b(body.encode(), digest_size=16).digest())
+            if key in seen:
+                continue
+            seen.add(key)
+        ends, n = [], 0
+        for x, y in lines or [(a, b)]:
+            n += y - x
+            ends.append((n, y))
+
+        def where(i: int, ends=ends) -> int:
+            """The place of the i-th character of the body."""
+            n, y = ends[bisect.bisect_right(ends, (i, 1 << 62))]
+            return y - (n - i)
+
+        body = body.translate(URL_SAFE)
+        for k in range(min(4, len(body) - BASE64_LEAST + 1)):
+
+            def place(i: int, j: int, k=k, where=where, n=n) -> tuple[int, int]:
+                return where(k + i * 4 // 3), where(min(n, k - (-j * 4 // 3)) - 1) + 1
+
+            yield Layer(_decoded(body[k:]).decode("latin-1"), layer, place)
+        for m in PACKED_BASE64.finditer(body):
+            if _opens(_decoded(body[m.start() : m.start() + 4 * PROBE // 3])):
+                yield from _unpacked(layer, _decoded(body[m.start() :]), where(m.start()), b)
+
+
+def _deeper(layer: Layer, seen: set) -> Iterator[Layer]:
+    text = layer.text
+    if layer.escapes < 2 and ("%" in text or "\\" in text) and ESCAPE.search(text):
+        for m in STRETCH.finditer(text):
+            if ("%" in m[0] or "\\" in m[0]) and ESCAPE.search(m[0]):
+                if layer.escapes:
+                    yield from _settled(layer, *m.span())
+                else:
+                    yield _unescaped(layer, *m.span())
+    yield from _base64(layer, not layer.depth, seen)
+    if layer.depth and layer.escapes < 2:
+        for m in PACKED_WITHIN.finditer(text):
+            if not _opens(text[m.start() : m.start() + PROBE].encode("latin-1", "ignore")):
+                continue
+            end = next((i for i in range(m.start(), len(text)) if text[i] > "\xff"), len(text))
+            yield from _unpacked(layer, text[m.start() : end].encode("latin-1"), m.start(), end)
+
+
+def scan(text: str) -> list[tuple[int, int, int, bool, int]]:
+    """All secrets of a text: (kind's index, start, end, found in the text itself, depth)."""
+    spans: dict[tuple[int, int, int], int] = {}
+    seen: set = set()
+    work: list[Iterator[Layer]] = [iter((Layer(text),))]
+    while work:
+        layer = next(work[-1], None)
+        if layer is None:
             work.pop()
-            del within[top.layer.text]
-            if not work:
-                return [(kind, a, b, depth == 0, depth) for (a, kind, b), depth in sorted(top.spans.items())]
-            if top.whole:
-                found[top.layer.text] = top.spans
-            work[-1].merge(top.layer, top.spans)
-
-
-class _Open:
-    """A layer whose deeper layers are being scanned, and the secrets met so far in its own places."""
-
-    def __init__(self, layer: Layer, most: int):
-        self.layer, self.whole = layer, True
-        self.spans = {(a, kind, b): 0 for kind, a, b in find(layer.text)}
-        self.deeper = self._unwrapped(most)
-
-    def _unwrapped(self, most: int) -> Iterator[Layer]:
-        for sign, pattern, decode in (("%", URL_RUN, _url), ("\\", UNICODE_RUN, _unicode)):
-            if sign in self.layer.text and (deeper := _replaced(self.layer, pattern, decode)) is not None:
-                yield deeper
-        yield from _base64(self.layer, most)
-
-    def merge(self, deeper: Layer, spans: dict[tuple[int, int, int], int]) -> None:
-        for (a, kind, b), depth in spans.items():
-            at = (deeper.place(a, False), kind, deeper.place(b - 1, True))
-            self.spans[at] = min(self.spans.get(at, depth + 1), depth + 1)
+            continue
+        if layer.depth:
+            key = (*layer.origin(0, len(layer.text)), hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()) if layer.text else None
+            if key is None or key in seen:
+                continue
+            seen.add(key)
+        for kind, a, b in find(layer.text):
+            a, b = layer.origin(a, b)
+            spans[a, kind, b] = min(spans.get((a, kind, b), layer.depth), layer.depth)
+        work.append(_deeper(layer, seen))
+    return [(kind, a, b, depth == 0, depth) for (a, kind, b), depth in sorted(spans.items())]
 
 
 def redact(text: str, spans: list[tuple[int, int, int, bool, int]], mark: str = "[SECRET]") -> str:
