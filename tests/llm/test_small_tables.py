@@ -230,20 +230,45 @@ def test_rows_that_share_an_id_leave_on_their_own(spark):
 # top-k
 
 
+def best_of(rows_, step=100, k=10):
+    """Every row's score against every query row but itself, by plain integers."""
+    ok = [(n, i, [math.floor(1024 * x) for x in v]) for n, (i, v) in enumerate(rows_) if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    want = []
+    for n, q, qv in ok:
+        if q is not None and q % step == 0:
+            scored = sorted((-sum(a * b for a, b in zip(qv, v)), i is None, i or 0, m) for m, i, v in ok if m != n)
+            want += [(q, at + 1, None if none else i, -s) for at, (s, none, i, _) in enumerate(scored[:k])]
+    return sorted(want, key=str)
+
+
 def test_topk_edges(spark):
     inf = float("inf")
-    rows_ = [(0, [1.0, 0.5]), (1, [1.0, 0.5]), (2, [-1.0, 2.0]), (3, None), (4, [1.0, None]), (5, [inf, 1.0]), (100, [0.25]), (6, []), (None, [1.0, 1.0]), (7, [float("nan"), 1.0]), (1, [2.0, 2.0])]
+    rows_ = [(0, [1.0, 0.5]), (1, [1.0, 0.5]), (2, [-1.0, 2.0]), (3, None), (4, [1.0, None]), (5, [inf, 1.0]), (100, [0.25]), (6, []), (None, [1.0, 1.0]), (7, [float("nan"), 1.0]), (1, [2.0, 2.0]), (100, [3.0, -1.0]), (100, [3.0, -1.0]), (None, [1.0, 1.0])]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows_], "vec_id long, embedding array<float>, score int")
-    vectors = {0: (1024, 512), 1: (1024, 512), 2: (-1024, 2048), 100: (256, 0), 6: (0, 0)}
-    want = []
-    for q in (0, 100):
-        best = sorted((-(vectors[q][0] * v[0] + vectors[q][1] * v[1]), i) for i, v in vectors.items() if i != q)
-        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
-    assert sorted(tuple(r) for r in topk.top_k(df).collect()) == want
-    assert [tuple(r)[:3] for r in topk.top_k(df, k=1).orderBy("query_id").collect()] == [w[:3] for w in want if w[1] == 1]
+    for k in (10, 1):
+        assert sorted((tuple(r) for r in topk.top_k(df, k=k).collect()), key=str) == best_of(rows_, k=k)
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_topk_outliers_and_low_scores(spark):
+    import random
+
+    rng = random.Random(3)
+    rows_ = [(i % 250, [float(rng.choice((-1, 1)) * rng.randrange(4)) for _ in range(8)]) for i in range(400)]
+    rows_ += [(401, [200_000.0] * 8), (500, [-3e5] * 8), (600, [4e9] * 8), (601, [-4e9, 4e9] * 4), (602, [5e11] * 8), (None, [1e9] * 8)]
+    df = spark.createDataFrame(rows_, "vec_id long, embedding array<double>")
+    top = (1 << 63) - 1
+    want = [(q, n, i, max(-top - 1, min(top, s))) for q, n, i, s in best_of(rows_)]
+    got = [tuple(r) for r in topk.top_k(df, query_block=3, chunk_rows=64).collect()]
+    saturated = lambda found: sorted(((q, s) for q, _, _, s in found), key=str)
+    assert saturated(got) == saturated(want)
+    exact = lambda found: sorted((r for r in found if abs(r[3]) < top), key=str)
+    assert exact(got) == exact(want)
+    below = [(i, [-1.0 - i / 7, -2.0]) for i in range(1, 60)] + [(100, [1.0, 3.0])]
+    df = spark.createDataFrame(below, "vec_id long, embedding array<double>")
+    assert sorted((tuple(r) for r in topk.top_k(df).collect()), key=str) == best_of(below)
+
+
 def test_topk_many_ties(spark):
     df = spark.range(600).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), (F.col("id") % 2).cast("double")).alias("embedding"))
     got = topk.top_k(df, query_block=2, chunk_rows=50).collect()

@@ -11,10 +11,11 @@ Queries are taken in blocks of ``query_block``, so what is broadcast and what re
 (a block's queries and cutoffs) is bounded whatever the table's size.
 
 Defined results: vectors that are null or hold null or non-finite components take no part; shorter
-vectors count as filled with zeros; vec_id is the key: of several rows with one vec_id the least
-vector stands for all; rows with a null vec_id take no part; ties go to the smaller vec_id; a
-query with fewer than k candidates gets all; an empty table gives an empty result. Scores that
-could exceed 58 bits raise OverflowError. Other input columns are ignored.
+vectors count as filled with zeros, vectors of any length are used whole; every row is a candidate
+but the query's own, so rows that share a vec_id, equal or not, count each, and so do rows without
+one; ties go to the smaller vec_id, null ids last; every row whose id is divisible is a query of
+its own; a query with fewer than k candidates gets all; an empty table gives an empty result.
+Components and scores beyond 64 bits count as the nearest long. Other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,12 +34,11 @@ QUERY_STEP = 100
 
 
 def prepared(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """One row (id, v) by vec_id, v being floor(SCALE * x) as array of long."""
+    """(id, v) of every row that takes part, v being floor(SCALE * x) as array of long."""
     finite = F.forall(F.col("x"), lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     ok = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x"))
-    ok = ok.where(F.col("id").isNotNull() & F.col("x").isNotNull()).where(F.coalesce(finite, F.lit(False)))
-    whole = ok.select("id", F.transform("x", lambda e: F.floor(e * F.lit(float(SCALE)))).alias("v"))
-    return whole.groupBy("id").agg(F.min("v").alias("v"))
+    ok = ok.where(F.col("x").isNotNull()).where(F.coalesce(finite, F.lit(False)))
+    return ok.select("id", F.transform("x", lambda e: F.floor(e * F.lit(float(SCALE)))).alias("v"))
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -50,14 +50,41 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
+#: Scores of this size or more are held to it until they are resolved.
+WIDE = 1 << 61
+
+
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact a @ b.T: in doubles while all sums stay under 2**53, else in 64-bit integers."""
-    bound = int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0)) * max(1, a.shape[1])
+    """a @ b.T: in doubles while all sums stay under 2**53, in 64-bit integers while they fit, else
+    row by row; what is WIDE or more (either way) is held to that."""
+    most = lambda x: max(int(x.max(initial=0)), -int(x.min(initial=0)))
+    bound = most(a) * most(b) * max(1, a.shape[1])
     if bound < 1 << 53:
         return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
-    if bound < 1 << 58:
+    if bound < WIDE:
         return a @ b.T
-    raise OverflowError("inner products may exceed 58 bits")
+    if len(b) > 1:  # only the rows that are large need wide numbers
+        large = np.array([most(r) for r in b], dtype=object) * most(a) * max(1, a.shape[1]) >= 1 << 53
+        out = np.zeros((len(a), len(b)), np.int64)
+        for part in (np.flatnonzero(~large.astype(bool)), *np.flatnonzero(large.astype(bool))[:, None]):
+            if len(part):
+                out[:, part] = _product(a, b[part])
+        return out
+    wide = a.astype(object) @ b.T.astype(object)
+    return np.clip(wide, -WIDE, WIDE).astype(np.int64)
+
+
+def _resolved(left: DataFrame) -> DataFrame:
+    """(q, id, row, score) of (q, id, row, v, qv): whole scores, exact at any size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high = -(1 << 63), (1 << 63) - 1
+        for batch in batches:
+            pairs = zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)
+            scores = [max(low, min(high, sum(x * y for x, y in zip(v, qv, strict=False)))) for v, qv in pairs]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(scores, pa.int64())], ["q", "id", "row", "score"])
+
+    return left.select("q", "id", "row", "v", "qv").mapInArrow(run, "q long, id long, row long, score long")
 
 
 def _blocks(width: int, lists: int) -> list[slice]:
@@ -75,27 +102,28 @@ def top_k(df: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str =
     """
     spark = df.sparkSession
     staging = Staging(spark, "topk")
-    every = staging.keep(prepared(df, id_col, vector_col), "every")
-    first = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    every = staging.keep(prepared(df, id_col, vector_col).withColumn("row", F.monotonically_increasing_id()), "every")
+    in_order = (F.col("id").asc_nulls_last(), "row")
+    first = F.row_number().over(Window.partitionBy("v").orderBy(*in_order))
     vectors = staging.keep(every.withColumn("at", first).where(F.col("at") <= k + 1).drop("at"), "vectors")
     width = vectors.agg(F.max(F.size("v"))).first()[0] or 0
     asked = every.where(F.col("id") % query_step == 0)
-    queries = staging.keep(asked.groupBy("v").agg(F.min("id").alias("q")).select("q", "v"), "queries")
-    found, last = spark.createDataFrame([], "q long, id long, score long"), None
+    queries = staging.keep(asked.groupBy("v").agg(F.min("row").alias("q")).select("q", "v"), "queries")
+    found, last = spark.createDataFrame([], "q long, id long, row long, score long"), None
     while True:
         block = queries.where(F.lit(True) if last is None else F.col("q") > last).orderBy("q").limit(query_block).collect()
         if not block:
             break
         best = _search(queries.where(F.col("q").between(block[0]["q"], block[-1]["q"])), vectors, block, k + 1, width, lists, chunk_rows)
         found, last = found.unionByName(staging.keep(best, "found")), block[-1]["q"]
-    members = asked.join(queries, "v").select(F.col("id").alias("query_id"), "q")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    ranked = members.join(found, "q").where(F.col("id") != F.col("query_id")).withColumn("rank", F.row_number().over(best))
+    members = asked.join(queries, "v").select(F.col("id").alias("query_id"), F.col("row").alias("own"), "q")
+    best = Window.partitionBy("own").orderBy(F.col("score").desc(), *in_order)
+    ranked = members.join(found, "q").where(F.col("row") != F.col("own")).withColumn("rank", F.row_number().over(best))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
 def _search(asked: DataFrame, vectors: DataFrame, block: list, k: int, width: int, lists: int, chunk_rows: int) -> DataFrame:
-    """(q, id, score) of each query's k best objects; ``block`` holds the rows of ``asked``."""
+    """(q, id, row, score) of each query's k best objects; ``block`` holds the rows of ``asked``."""
     spark = vectors.sparkSession
     ids = [r["q"] for r in block]
     matrix = np.zeros((len(ids), width), np.int64)
@@ -108,7 +136,7 @@ def _search(asked: DataFrame, vectors: DataFrame, block: list, k: int, width: in
         for batch in batches:
             for at in range(0, batch.num_rows, chunk_rows):
                 part = batch.slice(at, chunk_rows)
-                yield part.column(0).to_numpy(), _matrix(part.column(1), width)
+                yield part.column(0).to_numpy(), _matrix(part.column(1), width)  # rows and vectors
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Phase 1: the task's own k highest entries of every list, with their whole scores."""
@@ -127,14 +155,15 @@ def _search(asked: DataFrame, vectors: DataFrame, block: list, k: int, width: in
                 whole[j] = np.take_along_axis(np.hstack((whole[j], np.take_along_axis(scores, top, axis=1))), keep, axis=1)
                 own[j] = np.take_along_axis(np.hstack((own[j], chunk_ids[top])), keep, axis=1)
         for w, o in zip(whole, own, strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, o.shape[1])), pa.array(o.ravel()), pa.array(w.ravel())], ["q", "id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, o.shape[1])), pa.array(o.ravel()), pa.array(w.ravel())], ["q", "row", "score"])
 
-    gathered = vectors.mapInArrow(gather, "q long, id long, score long").distinct()
-    place = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "id"))
+    searched = vectors.select("row", "v")
+    gathered = searched.mapInArrow(gather, "q long, row long, score long").distinct()
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "row"))
     bounds = gathered.withColumn("at", place).where(F.col("at") == k).select("q", "score").collect()
     # any k whole scores bound the k-th best from below; with fewer objects than k all are wanted
     safe = {r["q"]: r["score"] for r in bounds}
-    lowest = -(1 << 58)
+    lowest = -(1 << 62)
     reach = [safe.get(q, lowest) for q in ids]
     # integers: if their sum is T or more, one of the lists holds ceil(T / lists) or more
     floor = np.array([-(-t // lists) if t > lowest else lowest for t in reach], np.int64)
@@ -147,19 +176,19 @@ def _search(asked: DataFrame, vectors: DataFrame, block: list, k: int, width: in
             for s in blocks:
                 scores = _product(qm[:, s], v[:, s])
                 qi, ci = np.nonzero(scores >= floors.value[:, None])
-                yield pa.RecordBatch.from_arrays([pa.array(query_ids[qi]), pa.array(own[ci]), pa.array(scores[qi, ci])], ["q", "id", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array(query_ids[qi]), pa.array(own[ci]), pa.array(scores[qi, ci])], ["q", "row", "part"])
 
     limits = spark.createDataFrame([(q, int(f), int(t)) for q, f, t in zip(ids, floor.tolist(), reach, strict=True)], "q long, cutoff long, safe long")
-    met = vectors.mapInArrow(collect, "q long, id long, part long").groupBy("q", "id").agg(F.sum("part").alias("part"), F.count("*").alias("n"))
+    wide = (F.abs("part") >= WIDE).cast("int")
+    met = searched.mapInArrow(collect, "q long, row long, part long").groupBy("q", "row").agg(F.sum("part").alias("part"), F.count("*").alias("n"), F.max(wide).alias("wide"))
     # a list that doesn't show the object holds less than the cutoff there
     met = met.join(F.broadcast(limits), "q")  # query_block rows
-    left = met.where((F.col("safe") == lowest) | (F.col("part") + (lists - F.col("n")) * F.col("cutoff") >= F.col("safe"))).select("q", "id")
+    open_ = (F.col("safe") == lowest) | (F.col("wide") == 1) | (F.col("part") + (lists - F.col("n")) * F.col("cutoff") >= F.col("safe"))
+    left = met.where(open_).select("q", "row")
     # Phase 3: whole scores of what is left
-    exact = left.join(vectors, "id").join(F.broadcast(asked.select("q", F.col("v").alias("qv"))), "q")  # query_block vectors
-    product = F.zip_with("v", "qv", lambda a, b: F.coalesce(a, F.lit(0)) * F.coalesce(b, F.lit(0)))
-    scored = exact.select("q", "id", F.aggregate(product, F.lit(0).cast("long"), lambda s, x: s + x).alias("score"))
-    best = Window.partitionBy("q").orderBy(F.col("score").desc(), "id")
-    return scored.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k).drop("at")
+    exact = left.join(vectors, "row").join(F.broadcast(asked.select("q", F.col("v").alias("qv"))), "q")  # query_block vectors
+    best = Window.partitionBy("q").orderBy(F.col("score").desc(), F.col("id").asc_nulls_last(), "row")
+    return _resolved(exact).withColumn("at", F.row_number().over(best)).where(F.col("at") <= k).drop("at")
 
 
 def top_k_sql(k: int = 10) -> str:
