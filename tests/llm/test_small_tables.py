@@ -169,6 +169,13 @@ def test_every_repeated_run_is_covered():
         assert line_dedup.cut(around[1], spans).split() == "1 before 1 after 1".split()
 
 
+def test_lines_of_named_documents(spark):
+    df = spark.createDataFrame([("a", A, "x"), ("b", A, "x"), ("c", B, "x")], "doc_id string, text string, removed string")
+    found = {r.doc_id: [s.first_id for s in r.removed] for r in line_dedup.find_repeats(df).collect()}
+    assert found == {"a": [], "b": ["a"], "c": []}
+    assert {r.doc_id: r.text for r in line_dedup.dedup_texts(df).collect()} == {"a": A, "b": "", "c": B}
+
+
 def test_rank_decides(spark):
     df = spark.createDataFrame([(1, A, "b"), (2, A, "a"), (3, A, None)], DOCS)
     got = {r.doc_id: len(r.removed) for r in line_dedup.find_repeats(df, rank_col="n_words").collect()}

@@ -16,8 +16,8 @@ third of all rows is split as a skewed partition of that join.
 
 Defined results: null and empty texts have no units; the rank column's nulls come last; ids are
 ranked as they compare, null ids last; repeated rows (same rank, id and text) are one document,
-and both stay as they are or are cut alike; other input columns are ignored; an empty table gives
-an empty result.
+and both stay as they are or are cut alike; texts of any length are read whole; other input columns are
+ignored, but ``dedup_texts`` replaces one named ``removed``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -117,8 +117,8 @@ def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     removed = later.groupBy("id", "key").agg(F.array_sort(F.collect_set(F.struct("start", "end", F.col("first.id").alias("first_id")))).alias("removed"))
     removed = removed.withColumnRenamed("id", "r_id").withColumnRenamed("key", "r_key")
     found = docs.select("id", "key", F.size("units").alias("n_units")).join(removed, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("key") == F.col("r_key")), "left")
-    empty = F.expr("slice(array(struct(0 as start, 0 as end, cast(null as bigint) as first_id)), 1, 0)")
-    return found.select(F.col("id").alias(id_col), "key", "n_units", F.coalesce("removed", F.lit(None) if df.schema[id_col].dataType.simpleString() != "bigint" else empty).alias("removed"))
+    empty = F.array().cast(removed.schema["removed"].dataType)
+    return found.select(F.col("id").alias(id_col), "key", "n_units", F.coalesce("removed", empty).alias("removed"))
 
 
 def dedup_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
