@@ -28,6 +28,8 @@ def groups(texts, threshold=0.8):
 
     def shingle(t):
         w = words(t)
+        if not w:  # equal only to itself
+            return frozenset({("text", t or "")})
         return frozenset(tuple(w[i : i + 5]) for i in range(max(min(len(w), 1), len(w) - 4)))
 
     copies = {}
@@ -67,9 +69,16 @@ def random_texts(n=60, seed=3):
     return out
 
 
+def test_hot_classes_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HOT_LEAST", 3)
+    texts = list(enumerate([*random_texts(30), *["a hot text of some words that stands there often"] * 40, *[" "] * 9]))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert sorted(tuple(r) for r in jaccard_join.near_duplicates(df).collect()) == groups(texts)
+
+
 @pytest.mark.parametrize("block", [768, 4])
 def test_all_pairs(spark, block):
-    texts = list(enumerate([*random_texts(), None, "", " ", "one two", "One, two!", "é é é é é é", "long " * 4000]))
+    texts = list(enumerate([*random_texts(), None, "", " ", " ", "!!!", "{}[]", "!!!", "one two", "One, two!", "é é é é é é", "long " * 4000]))
     df = spark.createDataFrame([(i, t, "x") for i, t in texts], "doc_id long, text string, cls string")
     got = sorted(tuple(r) for r in jaccard_join.near_duplicates(df, block=block).collect())
     assert got == groups(texts)

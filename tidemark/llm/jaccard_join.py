@@ -13,8 +13,8 @@ cut into blocks, and each pair of blocks is a unit of its own, so a group of any
 tasks and no task holds more than two blocks. Edges are closed into groups by passing the smallest
 label along them until nothing changes.
 
-Defined results: a null text counts as empty; texts without words are one copy class without
-links; a text of fewer than five words is one shingle; repeated rows are copies of each other; ids
+Defined results: a null text counts as empty; texts without words are copies only of equal texts and
+have no links; texts of any length are read whole; a text of fewer than five words is one shingle; repeated rows are copies of each other; ids
 may repeat and a null id is kept; other input columns are ignored; an empty table gives an empty
 result. A pair at the threshold exactly is linked. A pair at the threshold shares no band with a
 probability of (1 - 0.8**4)**24 (3e-6, less above it), and each look of the pruning may drop it
@@ -56,6 +56,12 @@ def least_agreements(compared: int, threshold: float, tolerance: float) -> int:
     return compared
 
 
+def _class(shingles: np.ndarray, text: str) -> bytes:
+    """Digest of the shingle set, or of the text where it has no words."""
+    data = shingles.tobytes() if len(shingles) else b"text " + text.encode()
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
 def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, key (hash of the text), cls (digest of the shingle set), n (its size), sig (packed 32-bit
     minima)."""
@@ -67,12 +73,13 @@ def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = [shingle_set(t or "") for t in part.column(2).to_pylist()]
+                texts = [t or "" for t in part.column(2).to_pylist()]
+                sets = [shingle_set(t) for t in texts]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
                         part.column(1),
-                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                        pa.array([_class(s, t) for s, t in zip(sets, texts, strict=True)], pa.binary()),
                         pa.array([len(s) for s in sets], pa.int32()),
                         pa.array([minhash(s).tobytes() for s in sets], pa.binary()),
                     ],
@@ -285,6 +292,19 @@ def _components(edges: DataFrame, staging: Staging) -> DataFrame:
             return labels
 
 
+#: A key with more than this share of the rows is hot: there are fewer such keys than its inverse.
+HOT_SHARE, HOT_LEAST = 1 / 2000, 1024
+
+
+def _joined(left: DataFrame, right: DataFrame, key: str, rows: str, total: int) -> DataFrame:
+    """left joined with the one row of ``right`` by key; ``rows`` tells how many of left's ``total``
+    rows a key has. Hot keys, 2,000 at most, are broadcast, so none of them lands in one task."""
+    is_hot = F.col(rows) > max(HOT_LEAST, int(total * HOT_SHARE))
+    hot, cold = right.where(is_hot), right.where(~is_hot)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return left.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
     """One row per input row: id_col, class_id (smallest id of the group of linked texts and
     their copies), copy_id (smallest id with the same shingles), n_copies (long, rows of the copy
@@ -301,6 +321,7 @@ def _grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     docs = staging.keep(signatures(df, id_col, text_col), "signatures")
     members = docs.select("id", "key", "cls")
     copies = members.groupBy("cls").agg(F.min("id").alias("copy_id"), F.count("*").alias("n_copies"), F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key")).alias("first"))
+    copies = staging.keep(copies, "copies")
     classes = docs.groupBy("cls").agg(F.first("sig").alias("sig"), F.first("n").alias("n"))
     classes = staging.keep(classes, "classes")
     units = staging.keep(_units(_bands(classes), block), "units")
@@ -308,7 +329,7 @@ def _grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     needed = staging.keep(_needed(signed, judge), "needed")
     # one text of each class that is needed; the classes' texts have equal shingles
     asked = needed.select("cls").distinct()
-    one = docs.join(asked, "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("id"))
+    one = copies.join(asked, "cls", "left_semi").select("cls", F.col("copy_id").alias("id"))
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     if _unique(docs):
         texts = texts.join(one, "id").select("cls", "text")
@@ -322,9 +343,12 @@ def _grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     found = copies.join(labels, "cls", "left").join(counted, "cls", "left")
     found = found.select("cls", "copy_id", "n_copies", "first", F.coalesce("label", "cls").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     found = staging.keep(found, "found")
-    named = found.groupBy("label").agg(F.min("copy_id").alias("class_id"), F.min("first").alias("first"))
-    whole = found.drop("first").join(named, "label").select("cls", "class_id", "copy_id", "n_copies", "n_links", "first")
-    return members.join(whole, "cls").select("id", "key", "class_id", "copy_id", "n_copies", "n_links", "first")
+    named = found.groupBy("label").agg(F.min("copy_id").alias("class_id"), F.min("first").alias("first"), F.count("*").alias("n_classes"))
+    named = staging.keep(named, "named")
+    whole = _joined(found.drop("first"), named, "label", "n_classes", found.count())
+    whole = staging.keep(whole.select("cls", "class_id", "copy_id", "n_copies", "n_links", "first"), "whole")
+    out = _joined(members, whole, "cls", "n_copies", members.count())
+    return out.select("id", "key", "class_id", "copy_id", "n_copies", "n_links", "first")
 
 
 def _unique(docs: DataFrame) -> bool:
@@ -335,7 +359,7 @@ def _unique(docs: DataFrame) -> bool:
 def _digests(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cls = [hashlib.blake2b(shingle_set(t or "").tobytes(), digest_size=16).digest() for t in batch.column(0).to_pylist()]
+            cls = [_class(shingle_set(t or ""), t or "") for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), batch.column(0)], ["cls", "text"])
 
     return texts.select("text").mapInArrow(run, "cls binary, text string")
