@@ -200,6 +200,38 @@ def test_leaks(spark):
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_short_items_count_whole(spark):
+    docs = spark.createDataFrame([(1, "So: what is THE capital of france? Paris", "c"), (2, "what is the capital", "c"), (3, "Two plus two", "c"), (4, "of", "c"), (5, "two plus three " * 50, "c")], DOCS)
+    bench = spark.createDataFrame([(1, "What is the capital of France"), (2, "two plus two"), (3, "of"), (4, ""), (2, "plus three two")], "item_id long, text string")
+    for most in (decontam.MOST_HASHES, 0):
+        got = sorted((r.doc_id, r.item_id, r.matched) for r in decontam.contaminated(docs, bench, most_hashes=most).collect())
+        assert got == [(1, 1, 6), (3, 2, 3), (5, 2, 3)]
+    got = sorted((r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench, least_words=1).collect())
+    assert got == [(1, 1), (1, 3), (2, 3)][:2] + [(3, 2), (4, 3), (5, 2)]
+    con = duckdb.connect()
+    con.register("d", docs.toPandas())
+    con.register("b", bench.toPandas())
+    con.execute("CREATE VIEW documents AS SELECT * FROM d")
+    con.execute("CREATE VIEW benchmark AS SELECT * FROM b WHERE text <> 'plus three two'")
+    assert rows(con.execute(decontam.contaminated_sql()).fetch_df()) == rows(decontam.contaminated(docs, bench.where("text <> 'plus three two'")).toPandas())
+
+
+def test_share_of_accepted_patterns_that_hit():
+    """The docstring's figures: substitution patterns of one stretch that leave some window whole."""
+    from itertools import combinations
+
+    def share(words, changed):
+        hit = total = 0
+        for out in combinations(range(words), changed):
+            total += 1
+            hit += any(not {i + p for p in m} & set(out) for m in decontam.MASKS for i in range(words - decontam.SPAN + 1))
+        return hit / total
+
+    assert share(16, 3) >= 0.97 and share(15, 3) >= 0.92 and share(12, 2) >= 0.84
+    assert all(share(n, k) == 1 for n, k in ((16, 1), (20, 1)))
+    assert 0.26 < share(10, 2) < 0.28
+
+
 def test_item_without_id(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
     docs = spark.createDataFrame([(1, f"so {item}", "c"), (2, "nothing of the kind " * 10, "c")], DOCS)
