@@ -9,12 +9,15 @@
    it estimates the class balance and each voter's firing rates by class (its accuracy), and, from
    the posterior, the correlation of each two voters within a class. A voter's weight is divided
    by one plus its correlations, so voters that repeat each other count once together.
-4. Classifier. A logistic regression over the votes is trained on the sample's posterior labels.
+4. Classifier. A logistic regression over the votes is trained on posterior labels: those of
+   ``sample_rows`` documents (in expectation), drawn at random from all without regard to labels,
+   and those of the labelled sample, where the label is one more voter of a known accuracy.
 
 Only labelled rows of ``labels`` whose crc32(doc_id as text) mod ``folds`` is not ``held_out`` are
-learned from; the rows sampled are ``sample_rows`` in expectation, chosen by a hash of the id.
+learned from; the rows sampled are ``sample_rows`` in expectation, chosen by a hash of the id, one
+text for each id.
 
-Defined results: a null or empty text has no votes and gets the score of no votes; repeated rows
+Defined results: texts of any length are read whole; a null or empty text has no votes and gets the score of no votes; repeated rows
 are scored each on their own; of several labels of one id the highest counts; null labels and
 labels of unknown ids are ignored; without any usable label every score is 0; other input columns
 are ignored; an empty table gives an empty result.
@@ -44,6 +47,8 @@ THRESHOLD = 0.3
 ROUNDS = 5
 #: Share of labels that are taken to be wrong when they are joined with the model's posterior.
 LABEL_NOISE = 0.05
+#: Weight of an unlabelled document beside a labelled one: its posterior alone is more cautious.
+UNLABELLED_WEIGHT = 0.1
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -223,16 +228,16 @@ def _discount(single: np.ndarray, joint: np.ndarray, flat: np.ndarray) -> np.nda
     return flat + np.clip(np.nan_to_num(correlation), 0, 1).sum(axis=1)
 
 
-def fit_classifier(votes: np.ndarray, target: np.ndarray, steps: int = 60, ridge: float = 1e-3) -> np.ndarray:
-    """Weights (the bias last) of a logistic regression on soft labels, by Newton steps."""
+def fit_classifier(votes: np.ndarray, target: np.ndarray, weight: np.ndarray, steps: int = 60, ridge: float = 1e-3) -> np.ndarray:
+    """Weights (the bias last) of a logistic regression on soft labels of weighted rows, by Newton steps."""
     x = np.column_stack([votes, np.ones(len(votes))])
     w = np.zeros(x.shape[1])
-    penalty = np.full(len(w), ridge * len(x))
+    penalty = np.full(len(w), ridge * weight.sum())
     penalty[-1] = 1e-6
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - target) + penalty * w
-        move = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(penalty), gradient)
+        gradient = x.T @ (weight * (p - target)) + penalty * w
+        move = np.linalg.solve((x * (weight * (p * (1 - p) + 1e-6))[:, None]).T @ x + np.diag(penalty), gradient)
         w -= move
         if np.abs(move).max() < 1e-6:
             break
@@ -245,7 +250,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     staging = Staging(docs.sparkSession, "toxicity")
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     known = F.broadcast(training_labels(labels, sample_rows))  # sample_rows rows, in expectation
-    sample = staging.keep(source.join(known, source["id"] == known["l_id"]).select("id", "text", "y"), "sample")
+    # one text of each id, so that repeated ids don't outgrow the bound
+    sample = source.join(known, source["id"] == known["l_id"]).groupBy("id", "y").agg(F.min_by(F.coalesce("text", F.lit("")), F.xxhash64("text")).alias("text"))
+    sample = staging.keep(sample, "sample")
     names, pos, neg = _mined(sample, voters)
     held = F.coalesce(crc32_mod(F.col("id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out")  # null ids aren't
     if not names:
@@ -264,7 +271,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     # the label is one more voter, of a known accuracy
     odds = np.log(model.posterior(x).clip(1e-6, 1 - 1e-6) / (1 - model.posterior(x).clip(1e-6, 1 - 1e-6)))
     target = 1 / (1 + np.exp(-(odds.clip(-3, 3) + np.log((1 - LABEL_NOISE) / LABEL_NOISE) * np.where(y == 1, 1, -1))))
-    weights = fit_classifier(x, target)
+    drawn = votes.where(F.rand(7) < sample_rows / max(1, votes.count())).groupBy("votes").agg(F.count("*").alias("n")).collect()  # sample_rows in expectation
+    ux = np.zeros((len(drawn), len(names)))
+    for i, r in enumerate(drawn):
+        ux[i, r["votes"]] = 1
+    n = UNLABELLED_WEIGHT * np.array([r["n"] for r in drawn], float)
+    weights = fit_classifier(np.vstack([x, ux]), np.concatenate([target, model.posterior(ux)]), np.concatenate([np.ones(len(x)), n]))
     by_voter = F.array(*(F.lit(float(w)) for w in weights[:-1]))
     logit = F.aggregate("votes", F.lit(float(weights[-1])), lambda s, v: s + F.get(by_voter, v))
     score = 1 / (1 + F.exp(-logit))
