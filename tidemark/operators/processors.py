@@ -70,6 +70,8 @@ class Match:
     bodies: tuple[str, ...] = ()
     names: tuple[str, ...] = ()
     event_names: tuple[str, ...] = ()
+    event_attributes: dict[str, object] = field(default_factory=dict)
+    link_attributes: dict[str, object] = field(default_factory=dict)
     severity_min: int | None = None
     match_undefined: bool = False
 
@@ -106,6 +108,11 @@ def matches(df: DataFrame, m: Match) -> Column:
     if m.event_names:
         hit = lambda e: _any([e["name"] == w if m.strict else e["name"].rlike(w) for w in m.event_names])
         parts.append(F.coalesce(F.exists("events", hit), F.lit(False)))
+    for column, wanted in (("events", m.event_attributes), ("links", m.link_attributes)):
+        if wanted:  # any of them, of any event or link
+            dtype = df.schema[column].dataType.elementType["attributes"].dataType
+            held = F.exists(column, lambda e: _any([_text_is(item(e["attributes"], dtype, k), w, m.strict) for k, w in wanted.items()]))  # noqa: B023
+            parts.append(F.coalesce(held, F.lit(False)))
     if m.severity_min is not None:
         number = F.coalesce(F.col("severity_number"), F.lit(0))
         parts.append((number >= m.severity_min) & (number != 0) | (F.lit(m.match_undefined) & (number == 0)))
