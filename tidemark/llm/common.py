@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,19 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's.
-
-    Only where neither is set (local tests) a temporary folder is made and set.
-    """
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's; where
+    neither is set (local tests) a folder in the warehouse, which they share too."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
-    own = tempfile.mkdtemp(prefix="tidemark-")
-    spark.sparkContext.setCheckpointDir(own)
-    return shared_dir(spark)
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tidemark_staging"
 
 
 class Staging:
