@@ -70,6 +70,68 @@ def test_exchange_never_lowers_likelihood():
     assert likelihood(B.exchange(n, 16, 4)) >= likelihood(start)
 
 
+def test_inserted_word_joins_its_kind():
+    """Words that stand like those of a class join it, by the whole likelihood tried class by class."""
+    rng = np.random.default_rng(2)
+    m = rng.integers(1, 60, (5, 5)).astype(float)
+    f = lambda x: (x * np.log(np.maximum(x, 1e-300))).sum()
+    for _ in range(50):
+        row, col = rng.integers(0, 9, 5).astype(float), rng.integers(0, 9, 5).astype(float)
+        tried = []
+        for k in range(3):
+            t = m.copy()
+            t[k] += row
+            t[:, k] += col
+            out, into = m.sum(axis=1), m.sum(axis=0)
+            out[k] += row.sum()
+            into[k] += col.sum()
+            tried.append(f(t) - f(out) - f(into))
+        assert tried[B.best_class(m, 3, row, col)] == pytest.approx(max(tried), abs=1e-5)
+
+
+def test_score_by_brute_force(spark):
+    """The score of every text from its words' classes, counted again by plain Python."""
+    rng = np.random.default_rng(4)
+    texts = {i: " ".join(f"{'ab'[j % 2]}{rng.integers(0, 8)}" for j in range(rng.integers(0, 30))) for i in range(80)}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in texts}
+    of = {}
+    keep = B.Symbols.classed
+
+    def classed(self, classes):
+        out = keep(self, classes)
+        of.update({w: int(classes[i]) for w, i in out.words.items()})
+        return out
+
+    B.Symbols.classed = classed
+    try:
+        df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+        got = {r.doc_id: r.score for r in B.score_texts(df, clustered=5, classes=3).collect()}
+    finally:
+        B.Symbols.classed = keep
+    rare = max(of.values()) + 1
+    line = lambda i: [t.encode() for t in texts[i].split()] + [b""]
+    train = [line(i) for i in texts if not held[i]]
+    c = Counter(w for x in train for w in x)
+    n, v = sum(c.values()), len(c)
+    cls = lambda w: of.get(w, rare)
+    tokens, kinds = Counter(), Counter({rare: 1})
+    for w, k in c.items():
+        tokens[cls(w)] += k
+        kinds[cls(w)] += 1
+    mass = {k: tokens[k] + 0.5 * kinds[k] for k in range(rare + 1)}
+    moves = Counter((cls(a), cls(b)) for x in train for a, b in zip([b"", *x], x))
+    outs = Counter()
+    for (a, _), k in moves.items():
+        outs[a] += k
+    for i in texts:
+        want, before = 0.0, cls(b"")
+        for w in line(i):
+            k = cls(w)
+            want += math.log10((moves[before, k] + 4 * mass[k] / (n + 0.5 * (v + 1))) / (outs[before] + 4)) + math.log10((c[w] + 0.5) / mass[k])
+            before = k
+        assert got[i] == pytest.approx(want, abs=1e-6)
+
+
 def test_edge_rows(spark):
     rows = [(1, None, 1.0), (2, "", 1.0), (3, "A b\ta", 1.0), (3, "A b\ta", 1.0), (None, "x", 1.0), (9, "word " * 3000, 1.0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, score double")

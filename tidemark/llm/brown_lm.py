@@ -1,22 +1,26 @@
 """LM scoring by a Brown class-based bigram model (operator 6).
 
-P(text) = product over tokens of P(class | class before) * P(word | class). Classes of the most
-frequent words are found by exchange clustering: each word in turn moves to the class that raises
-the likelihood of the training bigrams most, until no word moves. Words beyond those are classed
-by the magnitude of their training count, and the rare and unknown ones form one class of their
-own; the end of a text is a token too, and stands before each text's first word.
+P(text) = product over tokens of P(class | class before) * P(word | class). Classes are found by
+exchange clustering in two steps. The ``clustered`` most frequent words are exchanged: each in turn
+moves to the class that raises the likelihood of the training bigrams most, ``ROUNDS`` times through
+or until no word moves. Then every other word of the head is inserted, by the same gain, into one of
+these classes: its own bigram list is weighed against the fixed class-by-class table, word by word
+and spread over tasks. Words beyond the head (the ``head`` most frequent ones with ``HEAD_LEAST`` or
+more occurrences) and unknown ones form one class of their own: they aren't clustered. The end of a
+text is a token too, and stands before each text's first word.
 
 Counts of all words and of all bigrams of the training texts are taken, whatever the size: words
 are counted by task before they are shuffled. The ``head`` most frequent words are broadcast (a
 bounded table); a text's other words are joined with the whole count table, so no word's count is
-dropped. Bigrams are counted by symbol (a clustered word or one of the fixed classes), so the
-table that reaches the driver has (clustered + 20)**2 cells at most.
+dropped. Bigrams are counted by symbol (a clustered word, or a band of words of like counts until
+these are inserted), so the table that reaches the driver has (clustered + 20)**2 cells at most; of
+the inserted words only their classes do, ``head`` numbers at most.
 
 Probabilities are smoothed so that the model without transitions is the base score: a class's
 emission is (count + 0.5) / (its tokens + 0.5 * its words), rare words counting one word more for
 the unknown, and transitions are drawn to the classes' own shares by ``strength`` counts.
 
-Defined results: a null text counts as empty; an empty text is its end alone; rows are scored each
+Defined results: texts of any length are scored whole; a null text counts as empty; an empty text is its end alone; rows are scored each
 on their own, repeated ones alike; without training texts N and V are 0; other input columns are
 ignored; an empty table gives an empty result.
 """
@@ -41,6 +45,7 @@ HEAD_LEAST = 3
 CLUSTERED = 1000
 CLASSES = 64
 STRENGTH = 4.0
+ROUNDS = 12
 END = b""
 
 
@@ -49,7 +54,7 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def exchange(n: np.ndarray, movable: int, classes: int, rounds: int = 12) -> np.ndarray:
+def exchange(n: np.ndarray, movable: int, classes: int, rounds: int = ROUNDS) -> np.ndarray:
     """Class of each symbol, from bigram counts: the first ``movable`` symbols are exchanged among
     ``classes`` classes; every other symbol has a class of its own, numbered from there on."""
     size = len(n)
@@ -141,6 +146,14 @@ class Symbols:
         # one more entry: index -1 is any word beyond the head
         self.of = np.array([*range(self.clustered), *(place[b] for b in bands.tolist()), self.rare], np.int64)
 
+    def classed(self, classes: np.ndarray) -> Symbols:
+        """The same words, each with its class as its symbol; the rest has the class after them."""
+        out = Symbols.__new__(Symbols)
+        out.words, out.counts, out.clustered, out.bands = self.words, self.counts, self.clustered, []
+        out.rare = int(classes.max(initial=-1)) + 1
+        out.size, out.of = out.rare + 1, np.append(classes, out.rare)
+        return out
+
     def ids(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
 
@@ -166,6 +179,73 @@ def _bigrams(texts: DataFrame, shared) -> DataFrame:
     return texts.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
+def _contexts(texts: DataFrame, shared) -> DataFrame:
+    """(word, at): of every head word that isn't clustered, its neighbours: an array of ctx and n,
+    ctx being the class after it, or the number of classes and the class before it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbols, of, total = shared.value
+        low, wide = symbols.clustered, 2 * total
+        n = np.zeros((len(symbols.words) - low) * wide, np.int32)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                keys = []
+                for text in batch.column(0).slice(at, 1024).to_pylist():
+                    ids = symbols.ids([END, *words_of(text), END])
+                    classes = of[symbols.of[ids]]
+                    word = (ids - low) * wide
+                    first, last = np.flatnonzero(ids[:-1] >= low), np.flatnonzero(ids[1:] >= low) + 1
+                    keys += [word[first] + classes[first + 1], word[last] + total + classes[last - 1]]
+                keys, times = np.unique(np.concatenate(keys), return_counts=True)
+                n[keys] += times.astype(np.int32)
+        some = np.flatnonzero(n)
+        for at in range(0, len(some), 1 << 16):
+            part = some[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(n[part].astype(np.int64))], ["cell", "n"])
+
+    _, _, total = shared.value
+    cells = texts.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    word, ctx = F.floor(F.col("cell") / (2 * total)).cast("long"), F.pmod("cell", F.lit(2 * total)).cast("int")
+    return cells.groupBy(word.alias("word")).agg(F.collect_list(F.struct(ctx.alias("ctx"), "n")).alias("at"))  # 2 * total entries at most
+
+
+def best_class(m: np.ndarray, classes: int, row: np.ndarray, col: np.ndarray) -> int:
+    """The class, of the first ``classes``, that a word with these counts before (row) and after
+    (col) each class joins with the greatest gain of likelihood; the smallest one of ties."""
+    f = lambda x: x * np.log(np.maximum(x, 1e-300))
+    k = np.arange(classes)
+    rows, cols = f(m[k] + row) - f(m[k]), f(m[:, k] + col[:, None]) - f(m[:, k])
+    corner = m[k, k]
+    gain = rows.sum(axis=1) - rows[k, k] + cols.sum(axis=0) - cols[k, k] + f(corner + row[k] + col[k]) - f(corner)
+    out, into = m[k].sum(axis=1), m[:, k].sum(axis=0)
+    gain -= f(out + row.sum()) - f(out) + f(into + col.sum()) - f(into)
+    return int(np.argmax(np.round(gain, 6)))
+
+
+def _inserted(contexts: DataFrame, table, classes: int) -> DataFrame:
+    """(word, class) of every word of ``contexts``, by the fixed class-by-class table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = table.value
+        for batch in batches:
+            chosen = []
+            for entries in batch.column(1):
+                counts = np.zeros(2 * len(m))
+                both = entries.values
+                counts[both.field(0).to_numpy()] = both.field(1).to_numpy()
+                chosen.append(best_class(m, classes, counts[: len(m)], counts[len(m) :]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chosen, pa.int32())], ["word", "class"])
+
+    return contexts.mapInArrow(run, "word long, class int")
+
+
+def _counted_pairs(texts: DataFrame, shared, size: int) -> np.ndarray:
+    pairs = np.zeros(size**2, np.int64)
+    for r in _bigrams(texts, shared).collect():  # size ** 2 rows at most
+        pairs[r["pair"]] = r["n"]
+    return pairs.reshape(size, size)
+
+
 def _scored(docs: DataFrame, shared, tables) -> DataFrame:
     """By row: what head words tell, and the other words with their occurrences."""
     kind = docs.schema["id"].dataType.simpleString()
@@ -208,11 +288,20 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     top = counts.where(F.col("c") >= HEAD_LEAST).orderBy(F.col("c").desc(), "w").limit(head).collect()
     symbols = Symbols([(bytes(r["w"]), r["c"]) for r in top], clustered)
     shared = spark.sparkContext.broadcast(symbols)
-    pairs = np.zeros(symbols.size**2, np.int64)
-    for r in _bigrams(train, shared).collect():  # symbols.size ** 2 rows at most
-        pairs[r["pair"]] = r["n"]
-    pairs = pairs.reshape(symbols.size, symbols.size)
+    pairs = _counted_pairs(train, shared, symbols.size)
     of = exchange(pairs, symbols.clustered, classes)
+    if len(symbols.words) > symbols.clustered:
+        total, found = int(of.max()) + 1, int(of[: symbols.clustered].max()) + 1
+        member = np.zeros((symbols.size, total))
+        member[np.arange(symbols.size), of] = 1
+        contexts = _contexts(train, spark.sparkContext.broadcast((symbols, of, total)))
+        table = spark.sparkContext.broadcast(member.T @ pairs @ member)
+        by_word = np.concatenate([of[: symbols.clustered], np.zeros(len(symbols.words) - symbols.clustered, np.int64)])
+        for r in _inserted(contexts, table, found).collect():  # a row for each head word
+            by_word[symbols.clustered + r["word"]] = r["class"]
+        symbols = symbols.classed(by_word)
+        shared = spark.sparkContext.broadcast(symbols)
+        pairs, of = _counted_pairs(train, shared, symbols.size), np.arange(symbols.size)
     # tokens and words of each symbol, then of each class; rare words count the unknown word too
     tokens, kinds = np.zeros(symbols.size), np.zeros(symbols.size)
     np.add.at(tokens, symbols.of[:-1], symbols.counts)
