@@ -40,6 +40,16 @@ def test_attribute_actions(spark):
     assert got == {1: {"x": 1, "y": "c", "w": True}, 2: {"x": 9, "w": True}, 3: {"x": 9, "w": True}}
 
 
+def test_attribute_actions_in_order(spark):
+    a = processors.Action
+    df = maps(spark, {1: {"x": 1, "y": "b"}, 2: {"w": 5}, 3: None})
+    run = lambda *actions: {r.id: r.attributes and plain(r.attributes) for r in processors.edit_attributes(df, list(actions)).collect()}
+    assert run(a("rename", "x", new_key="y"), a("rename", "y", new_key="x")) == {1: {"x": 1}, 2: {"w": 5}, 3: None}
+    assert run(a("delete", "x"), a("update", "x", 3), a("rename", "w", new_key="x"), a("insert", "x", 4)) == {1: {"y": "b", "x": 4}, 2: {"x": 5}, 3: {"x": 4}}
+    assert run(a("upsert", "y", 1), a("delete", "y"), a("delete", "nothing")) == {1: {"x": 1}, 2: {"w": 5}, 3: None}
+    assert run(a("rename", "x", new_key="x"), a("unknown", "q")) == {1: {"x": 1, "y": "b"}, 2: {"w": 5}, 3: None}
+
+
 def test_ratio_by_batch(spark):
     """Batches of 12, 4, 5 and 4 records at 2 of 5 keep 6, 1, 2 and 1."""
     sizes = {0: 12, 1: 4, 2: 5, 3: 4}

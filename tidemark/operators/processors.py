@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import values as V
-from tidemark.plans.compile import OplRun, Scope, _edit_at, _put, _renamed
+from tidemark.plans.compile import OplRun, Scope, _edit_at, _put
 from tidemark.plans.opl import OplReader
 from tidemark.plans.syntax import QueryError
 
@@ -34,26 +34,46 @@ SCOPES = {"signal": ("attributes",), "resource": ("resource", "attributes"), "sc
 def edit_attributes(df: DataFrame, actions: list[Action], scope: str = "signal") -> DataFrame:
     """Actions in order on the attributes of a scope; unknown actions are ignored."""
     root, *steps = SCOPES[scope]
-    for a in actions:
-        df = df.withColumn(root, _edit_at(F.col(root), df.schema[root].dataType, tuple(steps), lambda m, dtype, a=a: _acted(m, dtype, a)))
-    return df
+    return df.withColumn(root, _edit_at(F.col(root), df.schema[root].dataType, tuple(steps), lambda m, dtype: _acted(m, dtype, actions)))
 
 
-def _acted(m: Column, dtype: T.MapType, a: Action) -> Column:
-    present = F.coalesce(F.array_contains(F.map_keys(m), a.key), F.lit(False))
+def _acted(m: Column, dtype: T.MapType, actions: list[Action]) -> Column:
+    """All actions in one pass: what becomes of each key they name is one expression, and the map is
+    built once from these and the entries they don't name."""
+    held: dict[str, tuple[Column, Column] | None] = {}  # by key: whether it is there, and its value
     kinds = {bool: "bool", int: "int", float: "double", str: "string"}
-    if a.action == "delete":
-        return F.map_filter(m, lambda k, v: k != a.key)
-    if a.action in ("insert", "upsert", "update"):
-        new = _put(m, dtype, a.key, V.literal(a.value, kinds[type(a.value)]))
-        return {"upsert": new, "insert": F.when(present, m).otherwise(new), "update": F.when(present, new).otherwise(m)}[a.action]
-    if a.action == "rename":
-        return F.when(present, _renamed(m, ((a.key, a.new_key),))).otherwise(m)
-    if a.action == "hash":
-        text = V.to_string(V.typed(F.try_element_at(m, F.lit(a.key)), dtype.valueType))
-        digest = F.sha2(F.concat(F.lit(a.salt), text).cast("binary"), 256)
-        return F.when(present, _put(m, dtype, a.key, V.Value(digest, "string"))).otherwise(m)
-    return m
+    nothing = F.lit(None).cast(dtype.valueType)
+    item = lambda v: V.wrap(v) if V.is_any(dtype.valueType) else v.col.cast(dtype.valueType)
+
+    def at(key: str) -> tuple[Column, Column]:
+        if key not in held:
+            held[key] = F.coalesce(F.map_contains_key(m, key), F.lit(False)), F.try_element_at(m, F.lit(key))
+        return held[key] or (F.lit(False), nothing)
+
+    for a in actions:
+        if a.action not in ("delete", "insert", "upsert", "update", "rename", "hash"):
+            continue
+        there, value = at(a.key)
+        if a.action == "delete":
+            held[a.key] = None
+        elif a.action in ("insert", "upsert", "update"):
+            new = item(V.literal(a.value, kinds[type(a.value)]))
+            held[a.key] = {"upsert": (F.lit(True), new), "insert": (F.lit(True), F.when(there, value).otherwise(new)), "update": (there, new)}[a.action]
+        elif a.action == "hash":
+            digest = F.sha2(F.concat(F.lit(a.salt), V.to_string(V.typed(value, dtype.valueType))).cast("binary"), 256)
+            held[a.key] = there, item(V.Value(digest, "string"))
+        elif a.new_key != a.key:
+            before, old = at(a.new_key)
+            held[a.new_key], held[a.key] = (there | before, F.when(there, value).otherwise(old)), None
+    if not held:
+        return m
+    left = [F.when(h[0], F.struct(F.lit(k).alias("key"), h[1].alias("value"))) for k, h in held.items() if h is not None]
+    rest = F.map_filter(m, lambda k, v: ~k.isin(list(held)))
+    if not left:
+        return rest
+    entries = F.filter(F.array(*left), lambda e: e.isNotNull())
+    made = F.map_from_entries(entries)
+    return F.when(m.isNull(), F.when(F.size(entries) > 0, made)).otherwise(F.map_concat(rest, made))
 
 
 # filters
@@ -198,7 +218,8 @@ def batch_by_items(df: DataFrame, items: int, order_by: list[str], name: str = "
 
 
 def sample_zip(df: DataFrame, max_items: int, interval: str, time_col: str, order_by: list[str] | None = None) -> DataFrame:
-    """At most ``max_items`` records of each interval, the earliest ones."""
+    """At most ``max_items`` records of each interval, the earliest ones; records without a time
+    belong to no interval and go."""
     windowed = df.withColumn("_window", F.window(time_col, interval)["start"])
     order = Window.partitionBy("_window").orderBy(*(order_by or [time_col]))
     return windowed.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_items).drop("_n", "_window")
@@ -292,7 +313,8 @@ def sorted_map(m: Column) -> Column:
 
 
 def reaggregate(df: DataFrame, stream: list[Column], time_col: str, period: str, aggregated: Column | None = None) -> DataFrame:
-    """The latest point of each stream and period; rows that ``aggregated`` doesn't hold pass.
+    """The latest point of each stream and period; rows that ``aggregated`` doesn't hold pass. Points
+    without a time belong to no period and go.
 
     The latest row is kept by an aggregate that is combined before the shuffle, so a stream with
     most of the points sends one row a task and period.

@@ -135,9 +135,13 @@ class Scope:
         left = self.value(tree.left)
         if op in ("in", "!in", "in~", "!in~"):
             same = V.equal if "~" not in op else V.equal_ignoring_case
-            out = F.lit(False)
-            for item in tree.right.values:
-                out = out | same(left, self.value(item))
+            items = tree.right.values
+            if "~" not in op and left.kind in ("int", "string") and all(isinstance(i, Literal) and i.kind == left.kind and i.value is not None for i in items):
+                out = F.coalesce(left.col.isin([i.value for i in items]), F.lit(False))
+            else:
+                out = F.lit(False)
+                for item in items:
+                    out = out | same(left, self.value(item))
             return Value(~out if op.startswith("!") else out, "bool")
         right = self.value(tree.right)
         if op in ("==", "!="):
