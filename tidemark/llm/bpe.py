@@ -4,7 +4,7 @@ Encoding keeps a doubly linked list of symbols and a priority queue of merge ran
 entry is stale when the pair at its place no longer has the entry's rank; it is then skipped.
 Decoding concatenates the vocabulary's byte strings.
 
-Defined results: a null text counts as empty; an empty text has no ids and decodes to "";
+Defined results: texts of any length are encoded whole; a null text counts as empty; an empty text has no ids and decodes to "";
 repeated rows are encoded each on their own; other columns of the input are ignored, so names
 that clash with the outputs do no harm; an empty table gives an empty result.
 """

@@ -11,7 +11,7 @@ The index is a constant of the plan: it has no more entries than the templates h
 text is read once, without a shuffle or a join.
 
 Defined results: A-Z are lower-cased and words are runs of letters, digits and characters beyond
-ASCII; a null text counts as empty and has no words; repeated rows are scanned each on their own;
+ASCII; texts of any length are scanned whole; a null text counts as empty and has no words; repeated rows are scanned each on their own;
 ties between starts count each; other input columns are ignored; an empty table gives an empty
 result.
 """

@@ -9,7 +9,7 @@ number of shards times a constant: summed over each cell's prefixes it gives eve
 and a cell's shard is its shortest prefix that fits. Where single cells are still too large, only
 their rows go on to a deeper histogram.
 
-Defined results: a null text has 0 bytes; a null key is hashed as the empty string. A row that
+Defined results: texts of any length count with all their bytes; a null text has 0 bytes; a null key is hashed as the empty string. A row that
 alone exceeds the limit gets a shard of its own, marked oversized. Rows whose keys are equal
 can't be told apart by hash bits: their bucket is continued on overflow pages ("prefix.page"),
 each within the limit. An empty table has no shards. Other input columns are ignored, so clashing
@@ -77,13 +77,13 @@ def _overflow_pages(rows: DataFrame, limit: int) -> DataFrame:
     return placed.select("id", "bytes", F.concat(_bits(F.col("h"), F.lit(HASH_BITS)), F.lit("."), page.cast("string")).alias("shard"), F.lit(HASH_BITS).alias("depth"), (F.col("bytes") > limit).alias("oversized"))
 
 
-def assign_shards(df: DataFrame, limit_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def assign_shards(df: DataFrame, limit_bytes: int, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """The shard of every row: id_col, n_bytes (long), shard (string), depth (int, bits of the
-    prefix), oversized (boolean: the row alone exceeds the limit)."""
+    prefix), oversized (boolean: the row alone exceeds the limit); with ``row_col`` that column too."""
     spark = df.sparkSession
     staging = Staging(spark, "sharding")
     size = F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long")
-    rows = staging.keep(df.select(F.col(id_col).alias("id"), key_hash(F.col(id_col)).alias("h"), size.alias("bytes")), "rows")
+    rows = staging.keep(df.select(F.struct(F.col(id_col).alias("own"), *([F.col(row_col).alias("row")] if row_col else [])).alias("id"), key_hash(F.col(id_col)).alias("h"), size.alias("bytes")), "rows")
     total = rows.agg(F.sum("bytes")).first()[0] or 0
     top, bottom = 0, min(HASH_BITS, CELLS_PER_SHARD_BITS + max(0, math.ceil(math.log2(max(1.0, total / limit_bytes)))))
     done: list[DataFrame] = []
@@ -111,14 +111,17 @@ def assign_shards(df: DataFrame, limit_bytes: int, id_col: str = "doc_id", text_
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.select(F.col("id").alias(id_col), F.col("bytes").alias("n_bytes"), "shard", "depth", "oversized")
+    return out.select(F.col("id.own").alias(id_col), *([F.col("id.row").alias(row_col)] if row_col else []), F.col("bytes").alias("n_bytes"), "shard", "depth", "oversized")
 
 
 def write_shards(df: DataFrame, path: str, limit_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write whole rows under ``path``/shard=…, one folder a shard. Ids must be unique."""
-    placed = assign_shards(df, limit_bytes, id_col, text_col).select(F.col(id_col).alias("_id"), "shard")
-    joined = df.join(placed, df[id_col].eqNullSafe(placed["_id"])).drop("_id")
+    """Write whole rows under ``path``/shard=…, one folder a shard; ids may repeat or be null."""
+    staging = Staging(df.sparkSession, "write_shards")
+    numbered = staging.keep(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    placed = assign_shards(numbered, limit_bytes, id_col, text_col, "_row").select("_row", "shard")
+    joined = numbered.join(placed, "_row").drop("_row")
     joined.repartition("shard").write.partitionBy("shard").parquet(path)
+    staging.clear()
 
 
 def sharding_sql(limit_bytes: int) -> str:
