@@ -79,10 +79,18 @@ def _resolved(left: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low, high = -(1 << 63), (1 << 63) - 1
-        for batch in batches:
-            pairs = zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)
-            scores = [max(low, min(high, sum(x * y for x, y in zip(v, qv, strict=False)))) for v, qv in pairs]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(scores, pa.int64())], ["q", "id", "row", "score"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                width = max(np.diff(batch.column(i).offsets.to_numpy()).max(initial=0) for i in (3, 4))
+                v, qv = _matrix(batch.column(3), width), _matrix(batch.column(4), width)
+                scores = np.einsum("ij,ij->i", v, qv)
+                # doubles tell, with room to spare, which sums may leave 64 bits
+                reach = np.abs(v).max(axis=1, initial=0).astype(float) * np.abs(qv).max(axis=1, initial=0).astype(float) * max(1, width)
+                lowest = (v == low).any(axis=1) | (qv == low).any(axis=1)  # has no absolute value
+                for i in np.flatnonzero((reach >= 2.0**61) | lowest):
+                    scores[i] = max(low, min(high, sum(x * y for x, y in zip(v[i].tolist(), qv[i].tolist(), strict=True))))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(scores, pa.int64())], ["q", "id", "row", "score"])
 
     return left.select("q", "id", "row", "v", "qv").mapInArrow(run, "q long, id long, row long, score long")
 
