@@ -264,3 +264,17 @@ def test_numbering_with_nulls_and_one_key(spark):
     df = spark.createDataFrame([(None, i) for i in range(50)] + [(1, i) for i in range(50, 100)], "k int, id long")
     assert processors.batch_by_items(df, 10, ["k"]).groupBy("_batch").count().where("count = 10").count() == 10
     assert processors.sample_ratio(df.limit(0), 1, 2, ["k"]).count() == 0
+
+
+def test_hashes_of_many_values():
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    values = [rng.randbytes(rng.choice((0, 1, 2, 3, 4, 5, 7, 8, 63, 300, 5000))) for _ in range(400)] + [None, b""]
+    for column in (pa.array(values, pa.binary()), pa.array([b"x", *values], pa.binary()).slice(1), pa.array([None, None], pa.binary()), pa.array([], pa.binary())):
+        for one, several in ((hashing.fnv1a_64, hashing.fnv1a_64_several), (hashing.murmur3_32, hashing.murmur3_32_several)):
+            assert hashing._together(column, one, several).to_pylist() == [None if b is None else one(b) for b in column.to_pylist()]
+    assert hashing._together(pa.array([b"a"], pa.binary()), hashing.fnv1a_64, hashing.fnv1a_64_several)[0].as_py() == 0xAF63DC4C8601EC8C - (1 << 64)
+    assert hashing._together(pa.array([b"hello"], pa.binary()), hashing.murmur3_32, hashing.murmur3_32_several)[0].as_py() == 0x248BFA47

@@ -7,6 +7,7 @@ import os
 import struct
 import time
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column
@@ -140,16 +141,71 @@ def _over_bytes(function, returns: T.DataType, arrow: pa.DataType):
     return run
 
 
+#: Longer values are hashed one by one; shorter ones together, position by position.
+TOGETHER_BYTES = 4096
+
+
+def _together(column: pa.Array, one, several) -> pa.Array:
+    """Hashes of a binary column: ``several`` takes the bytes, and the starts and lengths of values
+    sorted from long to short; nulls stay null."""
+    rows = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    lengths = np.diff(offsets)
+    out = np.zeros(len(column), np.int64)
+    short = rows[lengths[rows] <= TOGETHER_BYTES]
+    short = short[np.argsort(-lengths[short], kind="stable")]
+    out[short] = several(data, offsets[short].astype(np.int64), lengths[short])
+    for i in rows[lengths[rows] > TOGETHER_BYTES]:
+        out[i] = one(data[offsets[i] : offsets[i + 1]].tobytes())
+    return pa.array(out, pa.int64(), mask=~column.is_valid().to_numpy(zero_copy_only=False))
+
+
+def fnv1a_64_several(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    h = np.full(len(starts), 0xCBF29CE484222325, np.uint64)
+    for at in range(int(lengths.max(initial=0))):
+        n = int(np.searchsorted(-lengths, -at, "left"))  # so many values go on
+        h[:n] = (h[:n] ^ data[starts[:n] + at]) * np.uint64(0x100000001B3)
+    return h.view(np.int64)
+
+
+def murmur3_32_several(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    u = np.uint32
+    rotl = lambda x, r: x << u(r) | x >> u(32 - r)
+    scramble = lambda k: rotl(k * u(0xCC9E2D51), 15) * u(0x1B873593)
+    h, blocks = np.zeros(len(starts), u), lengths // 4
+    for at in range(int(blocks.max(initial=0))):
+        n = int(np.searchsorted(-blocks, -at, "left"))
+        k = sum(data[starts[:n] + 4 * at + j].astype(u) << u(8 * j) for j in range(4))
+        h[:n] = rotl(h[:n] ^ scramble(k), 13) * u(5) + u(0xE6546B64)
+    k = np.zeros(len(starts), u)
+    for j in range(3):
+        has = np.flatnonzero(lengths % 4 > j)
+        k[has] |= data[starts[has] + 4 * blocks[has] + j].astype(u) << u(8 * j)
+    h ^= scramble(k) ^ lengths.astype(u)  # a tail of nothing scrambles to nothing
+    h = (h ^ h >> u(16)) * u(0x85EBCA6B)
+    h = (h ^ h >> u(13)) * u(0xC2B2AE35)
+    return (h ^ h >> u(16)).astype(np.int64)
+
+
+def _hashed_together(one, several):
+    @F.arrow_udf(T.LongType())
+    def run(column: pa.Array) -> pa.Array:
+        return _together(column, one, several)
+
+    return run
+
+
 def _bytes(c: Column) -> Column:
     return c.cast("binary")
 
 
 def fnv(c: Column) -> Column:
-    return _over_bytes(fnv1a_64, T.LongType(), pa.int64())(_bytes(c))
+    return _hashed_together(fnv1a_64, fnv1a_64_several)(_bytes(c))
 
 
 def murmur3(c: Column) -> Column:
-    return _over_bytes(murmur3_32, T.LongType(), pa.int64())(_bytes(c))
+    return _hashed_together(murmur3_32, murmur3_32_several)(_bytes(c))
 
 
 def xxh3(c: Column) -> Column:
