@@ -45,19 +45,23 @@ def keyed_messages(df: DataFrame, topic: str | None = None, topic_attribute: str
 def fan_out(df: DataFrame, sinks: list[Callable[[DataFrame], None]], fallback: Callable[[DataFrame], None] | None = None, require_all: bool = True) -> list[Exception | None]:
     """The frame to every sink in turn. A sink that fails is followed by the fallback; without
     one, its error is raised at the end if all must succeed, or if none did."""
-    errors: list[Exception | None] = []
-    for sink in sinks:
-        try:
-            sink(df)
-            errors.append(None)
-        except Exception as e:  # a sink's failure must not keep the others from their copy
-            errors.append(e)
-    failed = [e for e in errors if e is not None]
-    if failed and fallback is not None:
-        fallback(df)
-    elif failed and (require_all or len(failed) == len(sinks)):
-        raise failed[0]
-    return errors
+    df.persist()  # computed once for all sinks; on disk where it doesn't fit
+    try:
+        errors: list[Exception | None] = []
+        for sink in sinks:
+            try:
+                sink(df)
+                errors.append(None)
+            except Exception as e:  # a sink's failure must not keep the others from their copy
+                errors.append(e)
+        failed = [e for e in errors if e is not None]
+        if failed and fallback is not None:
+            fallback(df)
+        elif failed and (require_all or len(failed) == len(sinks)):
+            raise failed[0]
+        return errors
+    finally:
+        df.unpersist()
 
 
 def with_retries(sink: Callable[[DataFrame], None], attempts: int = 3, wait_s: float = 0.1, growth: float = 2.0, most_s: float = 30.0) -> Callable[[DataFrame], None]:

@@ -23,9 +23,13 @@ def route_stream(stream: DataFrame, query: str, sinks: dict[str, Callable[[DataF
     """An OPL pipeline by micro-batch, each port to its sink."""
 
     def each(batch: DataFrame, _: int) -> None:
-        for port, df in run_opl(query, batch).items():
-            if port in sinks:
-                sinks[port](df)
+        batch.persist()  # read once for all ports; on disk where it doesn't fit
+        try:
+            for port, df in run_opl(query, batch).items():
+                if port in sinks:
+                    sinks[port](df)
+        finally:
+            batch.unpersist()
 
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(**trigger) if trigger else writer).start()
@@ -74,10 +78,14 @@ def sample_ratio_stream(stream: DataFrame, key: str, emit: int, out_of: int) ->
 
 
 def sample_zip_stream(stream: DataFrame, key: str, time_col: str, max_items: int, interval_s: int, lateness: str) -> DataFrame:
-    """At most ``max_items`` records of a key and interval of event time, first come first kept."""
+    """At most ``max_items`` records of a key and interval of event time, first come first kept. A
+    key's state goes once the watermark has passed its interval."""
     schema = stream.schema
 
     def step(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         start, n = state.get if state.exists else (-1, 0)
         for frame in frames:
             keep = []
@@ -89,5 +97,6 @@ def sample_zip_stream(stream: DataFrame, key: str, time_col: str, max_items: int
                 n += keep[-1]
             yield frame[keep]
         state.update((start, n))
+        state.setTimeoutTimestamp(max((start + 1) * interval_s * 1000, state.getCurrentWatermarkMs() + 1))
 
-    return stream.withWatermark(time_col, lateness).groupBy(key).applyInPandasWithState(step, schema, "start long, n long", "append", GroupStateTimeout.NoTimeout)
+    return stream.withWatermark(time_col, lateness).groupBy(key).applyInPandasWithState(step, schema, "start long, n long", "append", GroupStateTimeout.EventTimeTimeout)
