@@ -278,3 +278,26 @@ def test_hashes_of_many_values():
             assert hashing._together(column, one, several).to_pylist() == [None if b is None else one(b) for b in column.to_pylist()]
     assert hashing._together(pa.array([b"a"], pa.binary()), hashing.fnv1a_64, hashing.fnv1a_64_several)[0].as_py() == 0xAF63DC4C8601EC8C - (1 << 64)
     assert hashing._together(pa.array([b"hello"], pa.binary()), hashing.murmur3_32, hashing.murmur3_32_several)[0].as_py() == 0x248BFA47
+
+
+def test_otlp_json_traces_and_metrics(spark, tmp_path):
+    kv = lambda k, **v: {"key": k, "value": v}
+    of = lambda **more: {"resource": {"attributes": [kv("service.name", stringValue="s")]}, **more}
+    span = {"traceId": "0a" * 16, "spanId": "0b" * 8, "parentSpanId": "", "name": "op", "kind": 2, "startTimeUnixNano": "5", "endTimeUnixNano": "12", "attributes": [kv("n", intValue="7")], "events": [{"timeUnixNano": "6", "name": "e", "attributes": [kv("k", boolValue=True)]}], "links": [{"traceId": "0c" * 16, "spanId": "0d" * 8, "attributes": [kv("to", doubleValue=0.5)]}], "status": {"code": 1}}
+    path = tmp_path / "traces.json"
+    path.write_text(json.dumps({"resourceSpans": [of(scopeSpans=[{"scope": {"name": "lib"}, "spans": [span, {"name": "bare"}]}])]}))
+    df = readers.read_otlp_json_traces(spark, str(path))
+    got = {r.name: r for r in df.collect()}
+    assert got["op"].duration_time_unix_nano == 7 and got["op"].parent_span_id is None and bytes(got["op"].trace_id) == b"\x0a" * 16
+    assert got["op"].events[0].attributes["k"]["bool"] is True and got["op"].links[0].attributes["to"]["double"] == 0.5
+    assert got["bare"].events is None and got["bare"].resource.attributes["service.name"]["str"] == "s"
+    m = processors.Match
+    assert [r.name for r in processors.filter_records(df, m(link_attributes={"to": 0.5}, event_attributes={"k": True})).collect()] == ["op"]
+    points = [{"timeUnixNano": "9", "asInt": "4", "attributes": [kv("h", stringValue="x")]}]
+    metrics = [{"name": "g", "gauge": {"dataPoints": points}}, {"name": "s", "sum": {"dataPoints": [{"asDouble": 1.5}], "aggregationTemporality": 2, "isMonotonic": True}}, {"name": "h", "histogram": {"dataPoints": [{"count": "3", "sum": 6.0, "bucketCounts": ["1", "2"], "explicitBounds": [1.0]}]}}, {"name": "other"}]
+    path = tmp_path / "metrics.json"
+    path.write_text(json.dumps({"resourceMetrics": [of(scopeMetrics=[{"metrics": metrics}])]}))
+    got = {r.name: r for r in readers.read_otlp_json_metrics(spark, str(path)).collect()}
+    assert [got[n].metric_type for n in ("g", "s", "h", "other")] == [1, 2, 3, None]
+    assert got["g"].data_points[0].int_value == 4 and got["s"].is_monotonic and got["s"].aggregation_temporality == 2
+    assert got["h"].data_points[0].bucket_counts == [1, 2] and got["other"].data_points is None

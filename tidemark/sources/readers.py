@@ -120,6 +120,76 @@ def read_otlp_json_logs(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+_SCOPE_JSON = f"scope:struct<name:string,version:string,attributes:{_KV_JSON}>"
+_RESOURCE_JSON = f"resource:struct<attributes:{_KV_JSON}>,schemaUrl:string"
+_SPAN_JSON = (
+    f"struct<traceId:string,spanId:string,parentSpanId:string,traceState:string,name:string,kind:int,startTimeUnixNano:string,endTimeUnixNano:string,attributes:{_KV_JSON},"
+    f"events:array<struct<timeUnixNano:string,name:string,attributes:{_KV_JSON}>>,links:array<struct<traceId:string,spanId:string,traceState:string,attributes:{_KV_JSON}>>,status:struct<code:int,message:string>>"
+)
+OTLP_TRACES_JSON = f"resourceSpans array<struct<{_RESOURCE_JSON},scopeSpans:array<struct<{_SCOPE_JSON},spans:array<{_SPAN_JSON}>>>>>"
+_POINT_JSON = f"struct<startTimeUnixNano:string,timeUnixNano:string,asInt:string,asDouble:double,count:string,sum:double,min:double,max:double,bucketCounts:array<string>,explicitBounds:array<double>,attributes:{_KV_JSON},flags:bigint>"
+_POINTS_JSON = f"dataPoints:array<{_POINT_JSON}>,aggregationTemporality:int,isMonotonic:boolean"
+_METRIC_JSON = f"struct<name:string,description:string,unit:string,gauge:struct<{_POINTS_JSON}>,sum:struct<{_POINTS_JSON}>,histogram:struct<{_POINTS_JSON}>>"
+OTLP_METRICS_JSON = f"resourceMetrics array<struct<{_RESOURCE_JSON},scopeMetrics:array<struct<{_SCOPE_JSON},metrics:array<{_METRIC_JSON}>>>>>"
+# The kinds of metrics that are read, and their numbers.
+_METRIC_KINDS = (("gauge", 1), ("sum", 2), ("histogram", 3))
+
+
+def _scoped(lines: DataFrame, resources: str, scopes: str, records: str) -> tuple[DataFrame, list[Column]]:
+    """Records (x) exploded out of resources and scopes, and the columns that name both."""
+    r = lines.select(F.explode(resources).alias("r"))
+    s = r.select("r.resource", "r.schemaUrl", F.explode(f"r.{scopes}").alias("s"))
+    x = s.select("resource", "schemaUrl", "s.scope", F.explode(f"s.{records}").alias("x"))
+    resource = F.struct(F.col("schemaUrl").alias("schema_url"), _json_map(F.col("resource.attributes")).alias("attributes")).alias("resource")
+    scope = F.struct(F.col("scope.name").alias("name"), F.col("scope.version").alias("version"), _json_map(F.col("scope.attributes")).alias("attributes")).alias("instrumentation_scope")
+    return x, [resource, scope]
+
+
+def read_otlp_json_traces(spark: SparkSession, path: str) -> DataFrame:
+    """Spans of exported JSON lines, with their events and links, in the nested layout."""
+    x, named = _scoped(spark.read.schema(OTLP_TRACES_JSON).json(path), "resourceSpans", "scopeSpans", "spans")
+    start, end = F.col("x.startTimeUnixNano").try_cast("long"), F.col("x.endTimeUnixNano").try_cast("long")
+    event = lambda e: F.struct(e["timeUnixNano"].try_cast("long").alias("time_unix_nano"), e["name"].alias("name"), _json_map(e["attributes"]).alias("attributes"))
+    link = lambda e: F.struct(F.unhex(e["traceId"]).alias("trace_id"), F.unhex(e["spanId"]).alias("span_id"), e["traceState"].alias("trace_state"), _json_map(e["attributes"]).alias("attributes"))
+    return x.select(
+        F.unhex("x.traceId").alias("trace_id"),
+        F.unhex("x.spanId").alias("span_id"),
+        F.unhex(F.nullif("x.parentSpanId", F.lit(""))).alias("parent_span_id"),
+        F.col("x.traceState").alias("trace_state"),
+        F.col("x.name").alias("name"),
+        F.col("x.kind").alias("kind"),
+        start.alias("start_time_unix_nano"),
+        (end - start).alias("duration_time_unix_nano"),
+        F.col("x.status").alias("status"),
+        _json_map(F.col("x.attributes")).alias("attributes"),
+        F.transform("x.events", event).alias("events"),
+        F.transform("x.links", link).alias("links"),
+        *named,
+    )
+
+
+def read_otlp_json_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """Gauges, sums and histograms of exported JSON lines with their data points; metrics of other
+    kinds have a null metric_type and no points."""
+    x, named = _scoped(spark.read.schema(OTLP_METRICS_JSON).json(path), "resourceMetrics", "scopeMetrics", "metrics")
+    kind, data = F.lit(None).cast("int"), F.lit(None)
+    for name, number in reversed(_METRIC_KINDS):
+        held = F.col(f"x.{name}")
+        kind, data = F.when(held.isNotNull(), number).otherwise(kind), F.when(held.isNotNull(), held).otherwise(data)
+    whole = lambda c: c.try_cast("long")
+    point = lambda p: F.struct(
+        whole(p["startTimeUnixNano"]).alias("start_time_unix_nano"), whole(p["timeUnixNano"]).alias("time_unix_nano"),
+        whole(p["asInt"]).alias("int_value"), p["asDouble"].alias("double_value"), whole(p["count"]).alias("count"), p["sum"].alias("sum"), p["min"].alias("min"), p["max"].alias("max"),
+        F.transform(p["bucketCounts"], whole).alias("bucket_counts"), p["explicitBounds"].alias("explicit_bounds"), _json_map(p["attributes"]).alias("attributes"), p["flags"].alias("flags"),
+    )
+    x = x.withColumn("data", data)
+    return x.select(
+        F.col("x.name").alias("name"), F.col("x.description").alias("description"), F.col("x.unit").alias("unit"), kind.alias("metric_type"),
+        F.col("data.aggregationTemporality").alias("aggregation_temporality"), F.col("data.isMonotonic").alias("is_monotonic"),
+        F.transform("data.dataPoints", point).alias("data_points"), *named,
+    )
+
+
 @dataclass(frozen=True)
 class Cursor:
     """Where a poller has come to: a time and a unique tie-breaker."""
