@@ -48,7 +48,7 @@ ROUNDS = 5
 #: Share of labels that are taken to be wrong when they are joined with the model's posterior.
 LABEL_NOISE = 0.05
 #: Weight of an unlabelled document beside a labelled one: its posterior alone is more cautious.
-UNLABELLED_WEIGHT = 0.1
+UNLABELLED_WEIGHT = 0.03
 
 WORD = re.compile(r"[^\W\d_]+")
 
