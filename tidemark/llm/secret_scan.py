@@ -19,7 +19,9 @@ hides nothing beside it. A secret in a deeper layer is mapped back, layer by lay
 the original text that encodes it (in compressed data: the whole part). Every occurrence of an
 encoded part is mapped on its own; the same decoded text at the same place isn't followed twice,
 and a stream that begins with the same 64 KiB as one that it came out of is a cycle and ends there.
-Base64 runs under 16 characters hold no secret: the shortest one has 12 bytes.
+Base64 runs under 16 characters hold no secret: the shortest one has 12 bytes. What looks like the
+head of compressed data is followed if its fields are such as the format defines and its first bytes
+inflate.
 
 Defined results: a null text counts as empty and has no spans; repeated rows are scanned each on
 their own; spans are code points, end exclusive, sorted by start, kind and end, without
