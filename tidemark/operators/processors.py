@@ -198,16 +198,21 @@ def _range_of(df: DataFrame, order_by: list[str]) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when(below(at + step), at + step).otherwise(at))
 
 
-def _numbered(df: DataFrame, order_by: list[str]) -> DataFrame:
-    """_n: 0-based position in the order of all rows, without bringing them into one task: ranges
-    of the order are numbered apart, on top of the counts of the ranges before."""
-    ranged = df.withColumn("_part", _range_of(df, order_by))
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_size"))
+def _running(df: DataFrame, order_by: list[str], weight: Column, name: str) -> DataFrame:
+    """``name``: the weights of all rows before a row in the order, summed without bringing them into
+    one task: ranges of the order are summed apart, on top of the sums of the ranges before."""
+    ranged = df.withColumn("_part", _range_of(df, order_by)).withColumn("_weight", weight)
+    sizes = ranged.groupBy("_part").agg(F.sum("_weight").alias("_size"))
     before = F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # one row a range
     sizes = sizes.select(F.col("_part").alias("_p"), F.coalesce(before, F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order_by)) - 1
-    joined = ranged.withColumn("_w", within).join(F.broadcast(sizes), F.col("_part") == F.col("_p"), "left")
-    return joined.withColumn("_n", F.coalesce("_before", F.lit(0)) + F.col("_w")).drop("_part", "_w", "_p", "_before")
+    within = F.sum("_weight").over(Window.partitionBy("_part").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1))
+    joined = ranged.withColumn("_w", F.coalesce(within, F.lit(0))).join(F.broadcast(sizes), F.col("_part") == F.col("_p"), "left")
+    return joined.withColumn(name, F.coalesce("_before", F.lit(0)) + F.col("_w")).drop("_part", "_weight", "_w", "_p", "_before")
+
+
+def _numbered(df: DataFrame, order_by: list[str]) -> DataFrame:
+    """_n: 0-based position in the order of all rows."""
+    return _running(df, order_by, F.lit(1).cast("long"), "_n")
 
 
 def batch_by_items(df: DataFrame, items: int, order_by: list[str], name: str = "_batch") -> DataFrame:
@@ -217,6 +222,23 @@ def batch_by_items(df: DataFrame, items: int, order_by: list[str], name: str = "
     return _numbered(df, order_by).withColumn(name, F.floor(F.col("_n") / items)).drop("_n")
 
 
+def batch_by_bytes(df: DataFrame, size: int, order_by: list[str], bytes_of: Column | None = None, name: str = "_batch") -> DataFrame:
+    """A batch number by bytes: a batch ends with the record that fills it to the next multiple of
+    ``size``, so batches hold ``size`` bytes give or take a record, and numbers may have gaps where
+    a record alone is larger. Without ``bytes_of`` a record has the bytes of its JSON."""
+    if size < 1:
+        raise QueryError("a batch holds one byte at least")
+    weight = F.octet_length(F.to_json(F.struct(*df.columns))) if bytes_of is None else bytes_of
+    return _running(df, order_by, F.coalesce(weight.cast("long"), F.lit(0)), "_bytes").withColumn(name, F.floor(F.col("_bytes") / size)).drop("_bytes")
+
+
+def batch_by_requests(df: DataFrame, requests: int, request_col: str, name: str = "_batch") -> DataFrame:
+    """A batch number for every ``requests`` values of the request column in order; a request is
+    never split."""
+    seen = batch_by_items(df.select(F.col(request_col).alias("_request")).distinct(), requests, ["_request"], name)
+    return df.join(seen, df[request_col].eqNullSafe(seen["_request"])).drop("_request")
+
+
 def sample_zip(df: DataFrame, max_items: int, interval: str, time_col: str, order_by: list[str] | None = None) -> DataFrame:
     """At most ``max_items`` records of each interval, the earliest ones; records without a time
     belong to no interval and go."""
@@ -225,6 +247,37 @@ def sample_zip(df: DataFrame, max_items: int, interval: str, time_col: str, orde
     return windowed.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_items).drop("_n", "_window")
 
 
+# looking at what passes
+
+
+def debug_report(frames: dict[str, DataFrame], where: dict[str, object] | None = None) -> DataFrame:
+    """One row a signal: records, and the attributes, events, links and data_points they hold. With
+    ``where`` only records are counted that have one of these attribute values."""
+    out = None
+    for signal, df in frames.items():
+        if where:
+            df = df.where(matches(df, Match(attributes=where)))
+        held = [(F.sum(F.when(F.col(c).isNotNull(), F.size(c)).otherwise(0)) if c in df.columns else F.lit(0)) for c in ("attributes", "events", "links", "data_points")]
+        counts = [F.coalesce(h, F.lit(0)).cast("long").alias(c) for h, c in zip(held, ("attributes", "events", "links", "data_points"), strict=True)]
+        row = df.agg(F.count("*").alias("records"), *counts).withColumn("signal", F.lit(signal))
+        out = row if out is None else out.unionByName(row)
+    if out is None:
+        raise QueryError("a report needs a signal")
+    return out
+
+
+def debug_sample(df: DataFrame, initial: int, thereafter: int, interval: str, time_col: str, order_by: list[str] | None = None) -> DataFrame:
+    """Of each interval the first ``initial`` records, and of the others every ``thereafter``-th
+    (none for 0); records without a time belong to no interval and go."""
+    order = Window.partitionBy("_window").orderBy(*(order_by or [time_col]))
+    n = F.col("_n") - initial
+    kept = n <= 0
+    if thereafter > 0:
+        kept = kept | (n % thereafter == 0)
+    windowed = df.where(F.col(time_col).isNotNull()).withColumn("_window", F.window(time_col, interval)["start"])
+    return windowed.withColumn("_n", F.row_number().over(order)).where(kept).drop("_n", "_window")
+
+
 # partitions and routes
 
 
@@ -314,7 +367,7 @@ def sorted_map(m: Column) -> Column:
 
 def reaggregate(df: DataFrame, stream: list[Column], time_col: str, period: str, aggregated: Column | None = None) -> DataFrame:
     """The latest point of each stream and period; rows that ``aggregated`` doesn't hold pass. Points
-    without a time belong to no period and go.
+    without a time belong to no period and go. A column of exemplars is emptied in aggregated rows.
 
     The latest row is kept by an aggregate that is combined before the shuffle, so a stream with
     most of the points sends one row a task and period.
@@ -323,6 +376,8 @@ def reaggregate(df: DataFrame, stream: list[Column], time_col: str, period: str,
     names = df.columns
     keyed = df.withColumn("_stream", stream_id(stream)).withColumn("_period", F.window(time_col, period)["start"]).withColumn("_row", F.struct(*names))
     latest = keyed.where(holds).groupBy("_stream", "_period").agg(F.max_by("_row", F.struct(time_col, F.xxhash64("_row"))).alias("_row")).select("_row.*")
+    if "exemplars" in names:
+        latest = latest.withColumn("exemplars", F.lit(None).cast(df.schema["exemplars"].dataType))
     return latest if aggregated is None else latest.unionByName(df.where(~holds))
 
 

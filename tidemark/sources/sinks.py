@@ -7,16 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.layout import to_star, wide_strings
+from tidemark.operators.layout import to_tables, wide_strings
 
 
 def write_star(df: DataFrame, path: str, part_id: str, name: str = "logs", target_rows: int = 1_000_000) -> None:
-    """Root rows and attribute rows under ``path``/name and ``path``/name_attrs, partitioned by
-    _part_id; ids are unique within a part and tie the two tables together."""
+    """A signal's tables under ``path``, partitioned by _part_id: its rows, their attributes, and for
+    spans and metrics the events, links and data points with theirs. Ids are unique within a part
+    and tie the tables together.
+
+    The numbered rows are written once, under a hidden folder that goes at the end, and all tables
+    are read from there: numbering them anew for each table could give a row another id."""
+    spark = df.sparkSession
+    staged = f"{path}/_numbered_{name}_{part_id}"
     keyed = df.withColumn("id", F.monotonically_increasing_id()).withColumn("_part_id", F.lit(part_id))
-    root, attributes = to_star(keyed, ["_part_id", "id"])
-    for frame, table in ((root, name), (attributes.withColumnRenamed("id", "parent_id"), f"{name}_attrs")):
+    keyed.write.mode("overwrite").parquet(staged)
+    keyed = spark.read.schema(keyed.schema).parquet(staged)
+    for table, frame in to_tables(keyed, name, ["_part_id", "id"]).items():
+        if table != name:
+            frame = frame.withColumnRenamed("id", "parent_id")
         frame.write.mode("append").partitionBy("_part_id").option("maxRecordsPerFile", target_rows).parquet(f"{path}/{table}")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def write_wide(df: DataFrame, path: str, target_rows: int = 1_000_000) -> None:
