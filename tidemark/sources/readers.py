@@ -100,7 +100,22 @@ def _json_map(kv: Column) -> Column:
 
 def read_otlp_json_logs(spark: SparkSession, path: str) -> DataFrame:
     """Log records of exported JSON lines, in the nested layout."""
-    lines = spark.read.schema(OTLP_LOGS_JSON).json(path)
+    return _otlp_logs(spark.read.schema(OTLP_LOGS_JSON).json(path))
+
+
+def messages(spark: SparkSession, servers: str, topics: str, starting: str = "latest", **options: str) -> DataFrame:
+    """A stream of a message broker's topics, through Spark's own source, whose package must be on
+    the class path. Offsets are kept by the checkpoint of the query that reads it."""
+    reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topics).option("startingOffsets", starting)
+    return reader.option("includeHeaders", "true").options(**options).load()
+
+
+def message_logs(received: DataFrame) -> DataFrame:
+    """Log records of messages whose value is one exported JSON document; values that aren't have none."""
+    return _otlp_logs(received.select(F.from_json(F.col("value").cast("string"), OTLP_LOGS_JSON).alias("v")).select("v.*"))
+
+
+def _otlp_logs(lines: DataFrame) -> DataFrame:
     r = lines.select(F.explode("resourceLogs").alias("r"))
     s = r.select("r.resource", "r.schemaUrl", F.explode("r.scopeLogs").alias("s"))
     x = s.select("resource", "schemaUrl", "s.scope", F.explode("s.logRecords").alias("x"))
