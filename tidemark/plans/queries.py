@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import histogram, layout, processors
-from tidemark.plans import signal_queries
+from tidemark.plans import node_queries, signal_queries
 from tidemark.plans.compile import run_kql, run_opl, run_ottl
 from tidemark.sources.readers import events_as_logs, parse_syslog
 
@@ -208,11 +208,11 @@ def _kql(table: str, text: str) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {f"kql_{n}": _kql(t, q) for n, (t, q, _) in KQL.items()} | {n: q for n, (q, _) in OPL.items()} | {n: q for n, (q, _) in OTHERS.items()} | {n: q for n, (q, _) in signal_queries.QUERIES.items()}
+    return {f"kql_{n}": _kql(t, q) for n, (t, q, _) in KQL.items()} | {n: q for n, (q, _) in OPL.items()} | {n: q for n, (q, _) in OTHERS.items()} | {n: q for n, (q, _) in (signal_queries.QUERIES | node_queries.QUERIES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {f"kql_{n}": s for n, (_, _, s) in KQL.items()} | {n: s for n, (_, s) in OPL.items()} | {n: s for n, (_, s) in OTHERS.items() if s} | {n: s for n, (_, s) in signal_queries.QUERIES.items()}
+    return {f"kql_{n}": s for n, (_, _, s) in KQL.items()} | {n: s for n, (_, s) in OPL.items()} | {n: s for n, (_, s) in OTHERS.items() if s} | {n: s for n, (_, s) in (signal_queries.QUERIES | node_queries.QUERIES).items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
