@@ -2,7 +2,8 @@
 
 1. Voters. On a bounded sample of labelled training rows, every word (lexicon entry) and every
    word beginning (pattern) is counted by class; those that stand out most in toxic texts become
-   voters, each at one and at several occurrences.
+   voters for toxic, those that stand out most in clean ones voters for clean, each at one and at
+   several occurrences.
 2. Votes. Every whole text is read once; what remains of it is the list of voters that fire.
 3. Label model. A generative model of the true class and the votes is fitted by expectation
    maximisation on the vote patterns of all documents, with the labelled sample's counts as prior:
@@ -39,6 +40,8 @@ from tidemark.llm.common import Staging, crc32_mod
 FOLDS, HELD_OUT = 4, 2
 SAMPLE_ROWS = 20_000
 VOTERS = 96
+#: Voters for clean, beside the others.
+CLEAN_VOTERS = 32
 #: Occurrences at which a voter fires, each a voter of its own.
 COUNTS = (1, 3)
 BEGINNINGS = (4, 5)
@@ -95,7 +98,7 @@ def training_labels(labels: DataFrame, sample_rows: int, id_col: str = "doc_id",
     return known.where(F.pmod(F.xxhash64("l_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
 
 
-def _mined(sample: DataFrame, voters: int) -> tuple[list[tuple[str, int]], int, int]:
+def _mined(sample: DataFrame, voters: int, clean_voters: int = 0) -> tuple[list[tuple[str, int]], int, int]:
     """The voters' (mark, least count), and the sample's rows by class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,6 +131,9 @@ def _mined(sample: DataFrame, voters: int) -> tuple[list[tuple[str, int]], int,
     z = (F.col("p") / pos - F.col("n") / neg) / F.sqrt(pooled * (1 / pos + 1 / neg))
     ranked = counts.where((F.col("mark") != "") & (F.col("p") >= LEAST_DOCS) & (F.col("p") / pos > 2 * F.col("n") / neg)).withColumn("z", z)
     best = ranked.orderBy(F.col("z").desc(), "mark", "least").limit(voters).collect()
+    if clean_voters:
+        ranked = counts.where((F.col("mark") != "") & (F.col("n") >= LEAST_DOCS) & (F.col("n") / neg > 2 * F.col("p") / pos)).withColumn("z", z)
+        best += ranked.orderBy("z", "mark", "least").limit(clean_voters).collect()
     return [(r["mark"], r["least"]) for r in best], pos, neg
 
 
@@ -244,7 +250,7 @@ def fit_classifier(votes: np.ndarray, target: np.ndarray, weight: np.ndarray, st
     return w
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, voters: int = VOTERS, with_key: bool = False) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, voters: int = VOTERS, clean_voters: int = CLEAN_VOTERS, with_key: bool = False) -> DataFrame:
     """One row per document: id_col, held_out (boolean), score (double), predicted (int); with
     ``with_key`` also key (hash of the text)."""
     staging = Staging(docs.sparkSession, "toxicity")
@@ -253,7 +259,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     # one text of each id, so that repeated ids don't outgrow the bound
     sample = source.join(known, source["id"] == known["l_id"]).groupBy("id", "y").agg(F.min_by(F.coalesce("text", F.lit("")), F.xxhash64("text")).alias("text"))
     sample = staging.keep(sample, "sample")
-    names, pos, neg = _mined(sample, voters)
+    names, pos, neg = _mined(sample, voters, clean_voters)
     held = F.coalesce(crc32_mod(F.col("id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out")  # null ids aren't
     if not names:
         none = source.withColumn("key", F.xxhash64("text")) if with_key else source
