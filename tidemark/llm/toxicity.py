@@ -98,8 +98,9 @@ def training_labels(labels: DataFrame, sample_rows: int, id_col: str = "doc_id",
     return known.where(F.pmod(F.xxhash64("l_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
 
 
-def _mined(sample: DataFrame, voters: int, clean_voters: int = 0) -> tuple[list[tuple[str, int]], int, int]:
-    """The voters' (mark, least count), and the sample's rows by class."""
+def _mined(sample: DataFrame, voters: int, clean_voters: int = 0, staging: Staging | None = None) -> tuple[list[tuple[str, int]], int, int]:
+    """The voters' (mark, least count), and the sample's rows by class. With ``staging`` the counts
+    are written there, as each ranking reads them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic: Counter = Counter()
@@ -122,6 +123,8 @@ def _mined(sample: DataFrame, voters: int, clean_voters: int = 0) -> tuple[list[
         yield emit()
 
     counts = sample.select("text", "y").mapInArrow(run, "mark string, least int, p long, n long").groupBy("mark", "least").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    if staging is not None:
+        counts = staging.keep(counts, "marks")
     total = counts.where("mark = ''").first()
     if total is None or not total["p"] or not total["n"]:
         return [], 0, 0
@@ -259,7 +262,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     # one text of each id, so that repeated ids don't outgrow the bound
     sample = source.join(known, source["id"] == known["l_id"]).groupBy("id", "y").agg(F.min_by(F.coalesce("text", F.lit("")), F.xxhash64("text")).alias("text"))
     sample = staging.keep(sample, "sample")
-    names, pos, neg = _mined(sample, voters, clean_voters)
+    names, pos, neg = _mined(sample, voters, clean_voters, staging)
     held = F.coalesce(crc32_mod(F.col("id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out")  # null ids aren't
     if not names:
         none = source.withColumn("key", F.xxhash64("text")) if with_key else source
